@@ -1,9 +1,10 @@
 """Queries of the corpus operators, and the SQL of those that SQL can express."""
 
-from . import contamination, html, mixing, topk, toxicity, urls, warc
+from . import contamination, html, mixing, pii, topk, toxicity, urls, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_personal_data": pii.op2_personal_data,
     "op3_warc": warc.op3_warc,
     "op5_url_filter": urls.op5_url_filter,
     "op6_decontaminate": contamination.op6_decontaminate,
