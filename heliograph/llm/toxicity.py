@@ -48,33 +48,30 @@ def word_features(word: str) -> list[int]:
 
 
 def sparse(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the texts one after another, and where each text starts (and the last ends)."""
+    """Distinct features of the texts one after another, and where each text starts (and the last ends)."""
     memo: dict[str, list[int]] = {}
-    flat: list[int] = []
-    starts = [0]
+    flat, starts = [np.empty(0, np.int32)], [0]
     for t in texts:
+        has: set[int] = set()
         for w in text_words(t):
             f = memo.get(w)
             if f is None:
                 f = memo[w] = word_features(w)
-            flat += f
-        starts.append(len(flat))
-    return np.array(flat, np.int32), np.array(starts, np.int64)
+            has.update(f)
+        flat.append(np.array(sorted(has), np.int32))
+        starts.append(starts[-1] + len(has))
+    return np.concatenate(flat), np.array(starts, np.int64)
 
 
 class Rows:
     """Texts as sparse rows: which features each has, of those in ``kept`` (positions in the weights)."""
 
-    def __init__(self, flat, starts, kept=None):
-        self.n, self.width = len(starts) - 1, 1 << BITS if kept is None else len(kept)
-        row = np.repeat(np.arange(self.n, dtype=np.int64), np.diff(starts))
-        key = np.unique(row << BITS | flat)
-        self.row, self.col = key >> BITS, key & ((1 << BITS) - 1)
-        if kept is not None:
-            place = np.full(1 << BITS, -1, np.int64)
-            place[kept] = np.arange(len(kept))
-            own = place[self.col] >= 0
-            self.row, self.col = self.row[own], place[self.col[own]]
+    def __init__(self, flat, starts, kept):
+        self.n, self.width = len(starts) - 1, len(kept)
+        place = np.full(1 << BITS, -1, np.int32)
+        place[kept] = np.arange(len(kept))
+        col = place[flat]
+        self.row, self.col = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(starts))[col >= 0], col[col >= 0]
 
     def dot(self, w):
         return np.bincount(self.row, w[self.col], self.n)
@@ -97,10 +94,7 @@ def train(p: tuple, u: tuple, prior: float, epochs: int = 200, rate: float = 0.0
 
     p and u are what sparse() returns. Features of fewer than ``least`` sampled texts get no weight.
     """
-    known = np.zeros(1 << BITS, np.int64)
-    for flat, starts in (p, u):
-        row = np.repeat(np.arange(len(starts) - 1, dtype=np.int64), np.diff(starts))
-        known += np.bincount(np.unique(row << BITS | flat) & ((1 << BITS) - 1), minlength=1 << BITS)
+    known = np.bincount(p[0], minlength=1 << BITS) + np.bincount(u[0], minlength=1 << BITS)
     kept = np.flatnonzero(known >= least)
     p, u = Rows(*p, kept), Rows(*u, kept)
     w = np.zeros(len(kept) + 1)
@@ -148,7 +142,7 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, positives
     return (*out, prior) if all(len(s) > 1 for _, s in out) else None
 
 
-def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", positives: int = 2000, unlabelled: int = 6000) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", positives: int = 2000, unlabelled: int = 4000) -> DataFrame:
     """``docs`` with tox_score (a column of that name is replaced)."""
     got = sample(docs, labels, doc_id, text, positives, unlabelled)
     docs = docs.drop("tox_score")
