@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heliograph.llm.common import saved, table
 from heliograph.llm.contamination import clean
+from heliograph.llm.jaccard import deduplicated
 from heliograph.llm.mixing import mix_sources
+from heliograph.llm.pii import redact
 from heliograph.llm.toxicity import scored
 
 
@@ -15,17 +18,33 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored(docs, table(spark, sf_dir, "labels")).filter("tox_score < 0.5").drop("tox_score")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links of the Jaccard join hold together, the one with the least id stays."""
+    return deduplicated(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold at least half of a benchmark item go."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each span of personal data is replaced by its kind; n_chars follows the text."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that the sources come near their targets."""
     return mix_sources(docs)
 
 
-STAGES = [("toxicity", toxicity), ("decontamination", decontamination), ("mixing", mixing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal data", personal_data),
+    ("mixing", mixing),
+]
 
 #: A trained classifier decides in the first stage, which SQL can't express.
 ORACLE_SQL = None
@@ -34,5 +53,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)
