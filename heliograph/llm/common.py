@@ -43,7 +43,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: lineage ends here, and what is lost with an executor is read anew."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a saved table that nothing reads any more."""
+    path = getattr(df, "saved_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def word_count(text: Column) -> Column:
@@ -123,3 +134,69 @@ def long_window_hashes(h: np.ndarray, n: int) -> np.ndarray:
         inverse[1:] = pow(_BASE, -1, 1 << 64)
         np.multiply.accumulate(inverse, out=inverse)
     return mix64((total[n:] - total[:m]) * inverse)
+
+
+# Words of whole columns, hashed in numpy.
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_AS_IS = np.arange(1, 257, dtype=np.uint64)
+_LOWER = _AS_IS.copy()
+_LOWER[0x41:0x5B] += np.uint64(32)
+_BYTE_BASE = 0xD6E8FEB86659FD93
+SLICE_BYTES = 1 << 20
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the byte base and of its inverse, at least n of each."""
+    if not _powers or len(_powers[0]) < n:
+        _powers.clear()
+        for base in (_BYTE_BASE, pow(_BYTE_BASE, -1, 1 << 64)):
+            p = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+            p[0] = 1
+            _powers.append(np.multiply.accumulate(p, out=p))
+    return _powers[0], _powers[1]
+
+
+def hashed_words(column, lower: bool = False):
+    """(hashes of words, offsets of texts in them) for a few texts of an Arrow string column at a time, in order.
+
+    A word's hash is a polynomial of its bytes, taken from one running sum over the slice's bytes; nulls have no words.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    if not len(column):
+        return
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.empty(0, np.uint8)
+    letters = _LOWER if lower else _AS_IS
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        own, starts = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+        at = to
+        if not len(own):
+            yield np.empty(0, np.uint64), np.zeros(len(starts), np.int64)
+            continue
+        power, inverse = _power_tables(len(own) + 1)
+        solid = ~_SPACE[own]
+        first, last = solid.copy(), solid.copy()
+        first[1:] &= ~solid[:-1]
+        last[:-1] &= ~solid[1:]
+        edge = starts[1:-1]
+        edge = edge[(edge > 0) & (edge < len(own))]
+        first[edge] = solid[edge]
+        last[edge - 1] = solid[edge - 1]
+        begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        value = letters[own]
+        value *= power[: len(own)]
+        total = np.empty(len(own) + 1, np.uint64)
+        total[0] = 0
+        np.add.accumulate(value, out=total[1:])
+        h = (total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64)
+        yield mix64(h), np.searchsorted(begin, starts)

@@ -11,54 +11,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, ngram_hashes, words
+from .common import hashed_words, ngram_hashes
 
 #: A task names n-grams that it sees this often within so many n-grams; so many are kept in all.
 LOCAL_COUNT, LOCAL_GRAMS, KEPT = 12, 1_000_000, 65_536
 
 
-def lowered(text: str | None) -> list[bytes]:
-    return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
+def shingle_sets(column, n: int, lower: bool):
+    """For each text of an Arrow column its distinct n-grams in order of hash; a shorter text is one n-gram of its own, an empty one has none."""
+    for h, at in hashed_words(column, lower):
+        grams = ngram_hashes(h, n)
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if hi - lo >= n:
+                yield np.unique(grams[lo : hi - n + 1])
+            elif hi > lo:
+                yield ngram_hashes(h[lo:hi], hi - lo)
+            else:
+                yield np.empty(0, np.uint64)
 
 
-def shingle_set(ws: list[bytes], hasher: WordHasher, n: int) -> np.ndarray:
-    """Distinct n-grams in order of hash; a shorter text is one n-gram of its own, an empty one has none."""
-    if not ws:
-        return np.empty(0, np.uint64)
-    return np.unique(ngram_hashes(hasher(ws), min(n, len(ws))))
+class Counter:
+    """Names the n-grams that a task sees often. It holds LOCAL_GRAMS at most, and one text."""
 
+    def __init__(self):
+        self.held, self.size = [], 0
 
-def frequent(docs: DataFrame, text: str, n: int, lower: bool, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, counts) of at most ``kept`` n-grams that many texts hold. All texts are read; the list that comes to
-    the driver is bounded by ``kept``."""
-    split = lowered if lower else words
+    def add(self, s: np.ndarray) -> bool:
+        """True once counted() is due."""
+        self.held.append(s)
+        self.size += len(s)
+        return self.size >= LOCAL_GRAMS
 
-    def task(batches):
-        hasher, held, size = WordHasher(), [], 0
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        gram, count = np.unique(np.concatenate([np.empty(0, np.uint64), *self.held]), return_counts=True)
+        self.held, self.size = [], 0
+        many = count >= LOCAL_COUNT
+        return gram[many].view(np.int64), count[many].astype(np.int64)
 
-        def counted():
-            gram, count = np.unique(np.concatenate(held), return_counts=True)
-            many = count >= LOCAL_COUNT
-            return pa.RecordBatch.from_arrays([pa.array(gram[many].view(np.int64)), pa.array(count[many].astype(np.int64))], names=["gram", "n"])
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                s = shingle_set(split(t), hasher, n)
-                held.append(s)
-                size += len(s)
-                if size >= LOCAL_GRAMS:
-                    yield counted()
-                    held, size = [], 0
-        if size:
-            yield counted()
-
-    rows = docs.select(text).mapInArrow(task, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    got = rows.orderBy(F.col("n").desc(), "gram").limit(kept).toArrow()
+def most_frequent(rows: DataFrame, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of at most ``kept`` n-grams, from what the tasks have named (gram, n)."""
+    total = rows.groupBy("gram").agg(F.sum("n").alias("n"))
+    got = total.orderBy(F.col("n").desc(), "gram").limit(kept).toArrow()
     gram, count = got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
     order = np.argsort(gram)
     return gram[order], count[order]
 
 
+def frequent(docs: DataFrame, text: str, n: int, lower: bool, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a table of texts. All texts are read; the list that comes to the driver is bounded by ``kept``."""
+
+    def task(batches):
+        counter = Counter()
+        for b in batches:
+            for s in shingle_sets(b.column(0), n, lower):
+                if counter.add(s):
+                    yield _named(counter)
+        yield _named(counter)
+
+    def _named(counter):
+        gram, count = counter.counted()
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(count)], names=["gram", "n"])
+
+    return most_frequent(docs.select(text).mapInArrow(task, "gram long, n long"), kept)
+
+
 def weights(grams: np.ndarray, listed: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """For each n-gram its count in the list, 0 if it isn't there."""
     known, count = listed

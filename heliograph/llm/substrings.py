@@ -23,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, long_window_hashes, ngram_hashes, saved, table, words
+from .common import discard, hashed_words, long_window_hashes, ngram_hashes, saved, table, words
 from .shingles import frequent, weights
 
 LENGTH, N = 50, 5
 #: Words of one FM-index; a shard is cut between anchors once it has so many.
 SHARD_WORDS = 600_000
-BROADCAST_ROWS = 100_000
 
 
 # The index.
@@ -68,14 +67,18 @@ class FmIndex:
             last = np.concatenate([last[bit == 0], last[bit == 1]])
         self.size = len(order)
 
-    def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """How often each symbol stands before each place of the transform: down the wavelet matrix, from both ends of its run."""
-        lo, hi = np.zeros(len(i), np.int64), i.astype(np.int64)
+        self.origin = self._down(np.arange(len(self.starts) - 1), np.zeros(len(self.starts) - 1, np.int64))
+
+    def _down(self, symbol, i):
         for k, (v, zeros) in enumerate(zip(self.bits, self.zeros, strict=True)):
             one = (symbol >> (self.levels - 1 - k)) & 1 == 1
-            a, b = v.rank(lo), v.rank(hi)
-            lo, hi = np.where(one, zeros + a, lo - a), np.where(one, zeros + b, hi - b)
-        return hi - lo
+            ones = v.rank(i)
+            i = np.where(one, zeros + ones, i - ones)
+        return i
+
+    def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """How often each symbol stands before each place of the transform: down the wavelet matrix, less where the symbol's run starts."""
+        return self._down(symbol, i) - self.origin[symbol]
 
     def step(self, symbol, lo, hi):
         """Intervals of the suffixes that start with the symbol and go on as those in lo to hi."""
@@ -83,8 +86,9 @@ class FmIndex:
         return base + self.rank(symbol, lo), base + self.rank(symbol, hi)
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes by their first ``depth`` symbols at least (ties by place), by doubling."""
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Suffixes by their first ``depth`` symbols at least (ties by place), by doubling; and the classes of equal beginnings of the
+    last length up to ``depth``, with that length."""
     rank = text.astype(np.int64)
     order = np.argsort(rank, kind="stable")
     done = 1
@@ -92,27 +96,29 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         second = np.concatenate([rank[done:], np.zeros(min(done, len(rank)), np.int64)])[: len(rank)]
         key = rank * (int(rank.max()) + 2) + second
         order = np.argsort(key, kind="stable")
+        if done * 2 >= depth:
+            break
         k = key[order]
         new = np.empty(len(rank), np.int64)
         new[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-        if new.max() == len(rank) - 1:
-            break
         rank, done = new, done * 2
-    return order
+    return order, rank, done
 
 
 def repeated_windows(regions: list[np.ndarray], docs: np.ndarray, length: int) -> list[np.ndarray]:
     """Per region the starts of the windows that also occur in a region of a smaller document."""
     text = np.concatenate([np.append(r, 0) for r in regions])
-    index = FmIndex(text, suffix_order(text, length + 1))
+    order, alike, reach = suffix_order(text, length + 1)
+    index = FmIndex(text, order)
     sizes = np.array([len(r) for r in regions])
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     count = np.maximum(sizes - length + 1, 0)
     owner = np.repeat(np.arange(len(regions)), count)
     local = np.arange(count.sum()) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
     at = begin[owner] + local
-    lo, hi = np.zeros(len(at), np.int64), np.full(len(at), index.size, np.int64)
-    alive = np.arange(len(at))
+    twice = np.bincount(alike) > 1  # a window whose first or last words occur once needs no search
+    alive = np.flatnonzero(twice[alike[at]] & twice[alike[at + length - min(reach, length)]])
+    lo, hi = np.zeros(len(alive), np.int64), np.full(len(alive), index.size, np.int64)
     for k in range(length - 1, -1, -1):
         # matching statistics of windows that end together only grow to the left; an interval of one holds nothing else
         lo, hi = index.step(text[at[alive] + k], lo, hi)
@@ -159,7 +165,7 @@ def anchored(h: np.ndarray, listed, length: int, n: int):
     cuts = np.flatnonzero(np.diff(best)) + 1
     first, last = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(best)]]) - 1
     anchor = best[first]
-    powers = np.concatenate([[0], np.cumsum(h)])  # a plain sum and two rolling hashes tell regions apart
+    powers = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)])  # a plain sum and two rolling hashes tell regions apart
     ends = last + length
     whole = long_window_hashes(h, length)
     region = whole[first] * np.uint64(0x9E3779B97F4A7C15) ^ (whole[last] + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F) ^ (powers[ends] - powers[first]).astype(np.uint64)
@@ -172,66 +178,63 @@ def runs(docs: DataFrame, listed, length: int, n: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(listed)
 
     def task(batches):
-        hasher = WordHasher()
         for b in batches:
-            out = []
+            out, i = [], -1
             ids, fps = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False)
-            for i, t in enumerate(b.column("text").to_pylist()):
-                ws = words(t)
-                if len(ws) < length:
-                    continue
-                anchor, first, last, region = anchored(hasher(ws), sent.value, length, n)
-                out.append((anchor.view(np.int64), region.view(np.int64), np.full(len(first), ids[i]), np.full(len(first), fps[i]), first.astype(np.int32), last.astype(np.int32)))
+            for h, at in hashed_words(b.column("text")):
+                for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    i += 1
+                    if hi - lo < length:
+                        continue
+                    anchor, first, last, region = anchored(h[lo:hi], sent.value, length, n)
+                    out.append((anchor.view(np.int64), region.view(np.int64), np.full(len(first), ids[i]), np.full(len(first), fps[i]), first.astype(np.int32), last.astype(np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["anchor", "region", "doc_id", "fp", "s0", "s1"])
 
     return docs.mapInArrow(task, "anchor long, region long, doc_id long, fp long, s0 int, s1 int")
 
 
-_PIECE = "doc_id long, fp long, lo int, hi int"
+_PIECE = "anchor long, region long, lo int, hi int"
 
 
 def searched(reps: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """Pieces (doc_id, fp, lo, hi) of the representatives' windows that a smaller document has, by the anchors' shards."""
-    asked = saved(reps.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("anchor", "s0", "s1")).alias("runs")), "substring-asked")
-    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and (asked.agg(F.sum(F.size("runs")).alias("n")).first()["n"] or 0) <= 5 * BROADCAST_ROWS:
-        asked = F.broadcast(asked)
+    """Pieces (anchor, region, lo, hi), from the region's start, of the windows that a smaller document has too, by the anchors' shards."""
+    asked = saved(reps.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("anchor", "region", "s0", "s1")).alias("runs")), "substring-asked")
     joined = docs.join(asked, ["doc_id", "fp"])
 
     def cut(batches):
         for b in batches:
-            for doc, fp, text, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "fp", "text", "runs")), strict=True):
+            for doc, text, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "runs")), strict=True):
                 ws = words(text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["anchor"] for r in found], pa.int64()), pa.array([doc] * len(found), pa.int64()), pa.array([fp] * len(found), pa.int64()), pa.array([r["s0"] for r in found], pa.int32()), pa.array([b" ".join(ws[r["s0"] : r["s1"] + length]) for r in found], pa.binary())],
-                    names=["anchor", "doc_id", "fp", "s0", "words"],
+                    [pa.array([r[c] for r in found], pa.int64()) for c in ("anchor", "region")] + [pa.array([doc] * len(found), pa.int64()), pa.array([b" ".join(ws[r["s0"] : r["s1"] + length]) for r in found], pa.binary())],
+                    names=["anchor", "region", "doc_id", "words"],
                 )
 
     def search(batches):
         def shard(rows):
-            hasher = WordHasher()
-            split = [hasher(w.split()) for _, _, _, _, w in rows]
-            symbols, ids = np.unique(np.concatenate(split), return_inverse=True)
-            parts = np.split(ids + 1, np.cumsum([len(s) for s in split])[:-1])
-            found = repeated_windows(parts, np.array([r[1] for r in rows]), length)
+            text = pa.array([b" ".join(r[3] for r in rows)], pa.large_binary()).cast(pa.large_string(), safe=False)
+            symbols, ids = np.unique(np.concatenate([h for h, _ in hashed_words(text)]), return_inverse=True)
+            parts = np.split(ids + 1, np.cumsum([r[3].count(b" ") + 1 for r in rows])[:-1])
+            found = repeated_windows(parts, np.array([r[2] for r in rows]), length)
             out = []
-            for (_, doc, fp, s0, _), at in zip(rows, found, strict=True):
+            for (anchor, region, _, _), at in zip(rows, found, strict=True):
                 for run in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1) if len(at) else ():
-                    out.append((doc, fp, s0 + int(run[0]), s0 + int(run[-1]) + length))
-            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64() if i < 2 else pa.int32()) for i in range(4)], names=["doc_id", "fp", "lo", "hi"])
+                    out.append((anchor, region, int(run[0]), int(run[-1]) + length))
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64() if i < 2 else pa.int32()) for i in range(4)], names=["anchor", "region", "lo", "hi"])
 
         rows, size = [], 0
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc_id", "fp", "s0", "words")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "region", "doc_id", "words")), strict=True):
                 if size > SHARD_WORDS and row[0] != rows[-1][0]:
                     yield shard(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += row[4].count(b" ") + 2
+                size += row[3].count(b" ") + 2
         if rows:
             yield shard(rows)
 
-    pieces = joined.select("doc_id", "fp", "text", "runs").mapInArrow(cut, "anchor long, doc_id long, fp long, s0 int, words binary")
+    pieces = joined.select("doc_id", "text", "runs").mapInArrow(cut, "anchor long, region long, doc_id long, words binary")
     return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search, _PIECE)
 
 
@@ -243,11 +246,18 @@ def repeated(docs: DataFrame, length: int = LENGTH, n: int = N) -> DataFrame:
     classes = both.groupBy("anchor", "region").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
     classes = saved(classes, "substring-classes")
     several = saved(classes.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("several"), F.min("d0").alias("m0"), F.max("d1").alias("m1")).filter("m0 < m1").select("anchor", "several"), "substring-several")
+    discard(every)
     ranked = saved(classes.join(several, "anchor"), "substring-ranked")
-    placed = both.join(ranked, ["anchor", "region"])
+    placed = saved(both.join(ranked, ["anchor", "region"]), "substring-placed")
+    discard(both)
     whole = placed.filter("doc_id > d0").select("doc_id", "fp", F.col("s0").alias("lo"), (F.col("s1") + length).alias("hi"))
-    reps = saved(placed.filter("several and doc_id = d0").select("anchor", "doc_id", "fp", "s0", "s1"), "substring-reps")
-    pieces = whole.unionAll(searched(reps, docs, length))
+    own = placed.filter("several and doc_id = d0")
+    # One region of a class is searched; what is found holds for each of its places in that document.
+    one = own.groupBy("anchor", "region").agg(F.min("fp").alias("fp"), F.min(F.struct("fp", "s0", "s1")).alias("at"), F.min("doc_id").alias("doc_id"))
+    reps = saved(one.select("anchor", "region", "doc_id", "fp", "at.s0", "at.s1"), "substring-reps")
+    found = saved(searched(reps, docs, length), "substring-found").withColumnRenamed("lo", "a").withColumnRenamed("hi", "b")
+    again = own.join(found, ["anchor", "region"]).select("doc_id", "fp", (F.col("s0") + F.col("a")).alias("lo"), (F.col("s0") + F.col("b")).alias("hi"))
+    pieces = whole.unionAll(again)
     return saved(pieces.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("lo", "hi")).alias("pieces")), "substring-pieces")
 
 
