@@ -7,8 +7,9 @@ T-occurrence: inverted lists over the query's n-grams, the long ones set aside (
 heap with skips, survivors probed in the long lists by bisection, and those that reach their overlap retained.
 
 Large groups of near copies are not paired off. In each n-gram group all classes are first tried against one of them, in
-rounds; what links becomes a component. Only then are all pairs of different components that share an n-gram tried, so no
-link that could join two components is lost, and a link inside a component changes nothing.
+rounds; what links becomes a component. Only then are all pairs of different components that share an n-gram considered, so
+no link that could join two components is lost, and a link inside a component changes nothing. A pair is tried if its
+common head n-grams are enough for its overlap even if all that may follow were common too (see cross_pairs).
 
 Defined results: a text with fewer than n words has one n-gram, the whole; without words, or null, it has none and links
 with nothing; a null id takes no part and has a null component; repeated rows are in one class and all reported; rows that share
@@ -27,14 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, saved, table
+from .common import discard, saved, table
 from .components import components
-from .shingles import frequent, lowered, shingle_set, weights
+from .shingles import Counter, most_frequent, shingle_sets, weights
 
 N, PERCENT = 5, 75
 STAR_ROUNDS = 2
 #: Candidates of one query that are searched at once, and rows of candidates to a broadcast.
 CHUNK = 256
+#: Classes of a group of which all pairs are counted.
+GROUP = 64
 BROADCAST_ROWS = 400_000
 _PAIR = "a long, b long"
 
@@ -125,16 +128,31 @@ def t_occurrence(query: np.ndarray, sets: list[np.ndarray], percent: int = PERCE
 # Candidates.
 
 
-def measured(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """doc_id, n, sig: size and fingerprint of each text's set."""
+_SURVEY = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("gram", pa.int64())])
+
+
+def surveyed(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
+    """One reading of all texts: doc_id, n, sig (size and fingerprint of each set) where gram is null, else a frequent gram and its count n."""
 
     def task(batches):
-        hasher = WordHasher()
+        counter = Counter()
+
+        def named():
+            gram, count = counter.counted()
+            none = pa.nulls(len(gram), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.array(count), none, pa.array(gram)], schema=_SURVEY)
+
         for b in batches:
-            sets = [shingle_set(lowered(t), hasher, n) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], names=["doc_id", "n", "sig"])
+            sizes, sigs = [], []
+            for s in shingle_sets(b.column("text"), n, True):
+                sizes.append(len(s))
+                sigs.append(fingerprint(s))
+                if counter.add(s):
+                    yield named()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(len(sizes), pa.int64())], schema=_SURVEY)
+        yield named()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(task, "doc_id long, n long, sig long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(task, "doc_id long, n long, sig long, gram long")
 
 
 def heads(docs: DataFrame, text: str, n: int, percent: int, listed) -> DataFrame:
@@ -142,11 +160,10 @@ def heads(docs: DataFrame, text: str, n: int, percent: int, listed) -> DataFrame
     sent = docs.sparkSession.sparkContext.broadcast(listed)  # bounded by the list's length
 
     def task(batches):
-        hasher, seen, known = WordHasher(), set(), sent.value
+        seen, known = set(), sent.value
         for b in batches:
-            out = []
-            for t in b.column(0).to_pylist():
-                s = shingle_set(lowered(t), hasher, n)
+            out, size = [], 0
+            for s in shingle_sets(b.column(0), n, True):
                 if not len(s) or (sig := fingerprint(s)) in seen:
                     continue
                 if len(seen) > 2_000_000:
@@ -154,18 +171,25 @@ def heads(docs: DataFrame, text: str, n: int, percent: int, listed) -> DataFrame
                 seen.add(sig)
                 k = len(s) - least_overlap(len(s), percent) + 1
                 w = weights(s, known)
-                first = s[:k] if not w.any() else s[np.argsort(w, kind="stable")[:k]]
-                out.append((first, np.full(k, sig, np.int64), np.full(k, len(s), np.int32), np.arange(k, dtype=np.int32)))
+                out.append((s[:k] if not w.any() else s[np.argsort(w, kind="stable")[:k]], sig, len(s), k))
+                size += k
+                if size > 500_000:
+                    yield rows(out)
+                    out, size = [], 0
             if out:
-                columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), *map(pa.array, columns[1:])], names=["gram", "sig", "n", "pos"])
+                yield rows(out)
+
+    def rows(out):
+        k = np.array([x[3] for x in out])
+        pos = np.arange(k.sum(), dtype=np.int32) - np.repeat(np.cumsum(k) - k, k).astype(np.int32)
+        columns = np.concatenate([x[0] for x in out]).view(np.int64), np.repeat(np.array([x[1] for x in out], np.int64), k), np.repeat(np.array([x[2] for x in out], np.int32), k), pos
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["gram", "sig", "n", "pos"])
 
     return docs.select(text).mapInArrow(task, "gram long, sig long, n int, pos int")
 
 
 def shared_heads(rows: DataFrame) -> DataFrame:
     """Of these rows those whose n-gram more than one set has; repeated (gram, sig) once."""
-
     return rows.repartition("gram").sortWithinPartitions("gram", "n", "sig").mapInArrow(_shared_task, rows.schema)
 
 
@@ -228,97 +252,134 @@ def _index_size(n, percent):
 
 def star_pairs(groups: DataFrame, percent: int) -> DataFrame:
     """(a, b): each class with the smallest of its group, where they can link and aren't in one component yet; of these, per
-    class the one that it shares most n-grams with."""
+    class the one that it shares most n-grams with, if these are many. What is left out here is left to cross_pairs."""
 
     def task(batches):
         for (gram, sig, n, pos, comp), starts in _grouped(batches, ["gram", "sig", "n", "pos", "comp"]):
             first = np.repeat(starts, np.diff(np.append(starts, len(gram))))
-            fits = (100 * n[first].astype(np.int64) >= percent * n.astype(np.int64)) & (pos[first] < _index_size(n[first].astype(np.int64), percent)) & (comp != comp[first])
-            yield pa.RecordBatch.from_arrays([pa.array(sig[fits]), pa.array(sig[first][fits])], names=["a", "b"])
+            fits = (100 * n[first].astype(np.int64) >= percent * n.astype(np.int64)) & (comp != comp[first])
+            yield pa.RecordBatch.from_arrays([pa.array(x[fits]) for x in (sig, sig[first], n, n[first])], names=["a", "b", "na", "nb"])
+
+    pairs = groups.repartition("gram").sortWithinPartitions("gram", "n", "sig").mapInArrow(task, "a long, b long, na int, nb int")
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    likely = counted.filter(2 * F.col("c") + F.greatest(_after("na", percent), _after("nb", percent)) >= _overlap("na", "nb", percent))
+    return likely.groupBy("a").agg(F.max_by("b", "c").alias("b"))
+
 
-    pairs = groups.repartition("gram").sortWithinPartitions("gram", "n", "sig").mapInArrow(task, _PAIR)
-    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    return counted.groupBy("a").agg(F.max_by("b", "c").alias("b"))
+def _overlap(na, nb, percent):
+    return F.ceil((percent * (F.col(na) + F.col(nb))) / F.lit(100 + percent))
+
+
+def _after(n, percent):
+    """N-grams of a set behind its head."""
+    return F.ceil(percent * F.col(n) / F.lit(100)) - 1
 
 
 def cross_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a the larger: all pairs of different components that share an n-gram and can still reach their overlap."""
+    """(a, b), a the larger: pairs of different components that can still reach their overlap.
+
+    In groups of up to GROUP classes all pairs are counted. Of two heads, the one that ends first in the common order
+    has every common n-gram up to its end in both heads, so the overlap is at most the common head n-grams and what
+    follows that head. In larger groups a pair is given if the n-gram can be the first that it shares: its place leaves
+    room for the overlap behind it, and it is among the first of the smaller set. Pairs whose first common n-gram has
+    such a group are found there; for others, the n-grams that either has in such groups are added to the bound.
+    """
 
     def task(batches):
+        def rows(out):
+            a, b, na, nb, big = (np.concatenate(x) for x in zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=big == 2), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32)), pa.array(big.astype(np.int32))], names=["a", "b", "na", "nb", "big"])
+
         for (gram, sig, n, pos, comp), starts in _grouped(batches, ["gram", "sig", "n", "pos", "comp"]):
             ends = np.append(starts[1:], len(gram))
-            mixed = np.flatnonzero(np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts))
-            a, b, size = [], [], 0
-            for k in mixed:
+            out, size = [], 0
+            large = ends - starts > GROUP
+            for k in np.flatnonzero(large):  # how often a class is in a large group
+                own = sig[starts[k] : ends[k]]
+                none = np.zeros(len(own), np.int64)
+                out.append((own, none, none, none, none + 2))
+            for k in np.flatnonzero(np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)):
                 lo, hi = int(starts[k]), int(ends[k])
                 m, p = n[lo:hi].astype(np.int64), pos[lo:hi].astype(np.int64)
-                for i in np.flatnonzero(p < _index_size(m, percent)):
+                for i in np.flatnonzero(p < _index_size(m, percent)) if large[k] else range(hi - lo - 1):
                     top = int(np.searchsorted(m, 100 * m[i] // percent, "right"))  # larger sets that are not too large
                     j = np.arange(i + 1, top)
                     j = j[comp[lo + j] != comp[lo + i]]
-                    j = j[1 + np.minimum(m[i] - p[i] - 1, m[j] - p[j] - 1) >= pair_overlap(m[i], m[j], percent)]
+                    if large[k]:
+                        j = j[1 + np.minimum(m[i] - p[i] - 1, m[j] - p[j] - 1) >= pair_overlap(m[i], m[j], percent)]
                     if len(j):
-                        a.append(sig[lo + j])
-                        b.append(np.full(len(j), sig[lo + i]))
+                        out.append((sig[lo + j], np.full(len(j), sig[lo + i]), m[j], np.full(len(j), m[i]), np.full(len(j), int(large[k]))))
                         size += len(j)
                         if size > 200_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-                            a, b, size = [], [], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                            yield rows(out)
+                            out, size = [], 0
+            if out:
+                yield rows(out)
 
-    return groups.repartition("gram").sortWithinPartitions("gram", "n", "sig").mapInArrow(task, _PAIR).distinct()
+    found = groups.repartition("gram").sortWithinPartitions("gram", "n", "sig").mapInArrow(task, "a long, b long, na int, nb int, big int")
+    counted = saved(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("big").alias("big"), F.max("na").alias("na"), F.max("nb").alias("nb")), "jaccard-counted")
+    often = saved(counted.filter("big = 2").select(F.col("a").alias("s"), F.col("c").alias("often")), "jaccard-often")
+    pairs = counted.filter("big < 2")
+    for side in "ab":
+        pairs = pairs.join(often.select(F.col("s").alias(side), F.col("often").alias(f"often_{side}")), side, "left").fillna(0, [f"often_{side}"])
+    bound = F.col("c") + F.least("often_a", "often_b") + F.greatest(_after("na", percent), _after("nb", percent))
+    return pairs.filter((F.col("big") == 1) | (bound >= _overlap("na", "nb", percent))).select("a", "b")
 
 
 # Verification.
 
 
 def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
-    """Those of the (a, b) that link. Texts are fetched by the id of a class's representative; b's come to a, which searches them."""
-    needed = saved(pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct().join(classes.select("sig", "first_id"), "sig"), "jaccard-needed")
-    if needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        needed = F.broadcast(needed)
-    rows = docs.select(F.col(doc_id).cast("long").alias("first_id"), F.col(text).alias("text")).join(needed, "first_id").select("sig", "text")
-    texts = saved(rows.groupBy("sig").agg(F.min("text").alias("text")), "jaccard-texts")
-    asked = pairs.join(texts.select(F.col("sig").alias("b"), "text"), "b").select("a", "b", "text")
-    queries = pairs.select("a").distinct().join(texts.select(F.col("sig").alias("a"), "text"), "a").select("a", F.lit(None).cast("long").alias("b"), "text")
+    """Those of the (a, b) that link: b is the query, its a's are the candidates, CHUNK of them to a search.
+
+    A b with many a's has several searches, each with b's text beside its share of the a's, so no key is hot. Texts are
+    fetched by the id of a class's representative and moved once; a text of another set under that id is passed over.
+    """
+    shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("int").alias("shares"))
+    asked = pairs.join(shares, "b").select("b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.col("a").alias("sig"))
+    query = shares.select("b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("b").alias("sig"))
+    needed = saved(asked.unionAll(query).join(classes, "sig"), "jaccard-needed")
+    rows = docs.select(F.col(doc_id).cast("long").alias("first_id"), F.col(text).alias("text"))
+    few = needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    placed = rows.join(F.broadcast(needed) if few else needed, "first_id").select("b", "share", "sig", "text")
 
     def task(batches):
-        hasher = WordHasher()
-        query, query_set, waiting = None, None, []
+        at, query, sets = None, None, {}
 
         def search():
-            hits = t_occurrence(query_set, [s for _, s in waiting], percent)
-            return [(query, waiting[i][0]) for i in hits]
+            if query is None or not sets:
+                return
+            named = list(sets)
+            hits = [named[i] for i in t_occurrence(query, [sets[x] for x in named], percent)]
+            if hits:
+                yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int64()), pa.array([at[0]] * len(hits), pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            out = []
-            for a, b, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text")), strict=True):
-                if b is None or len(waiting) >= CHUNK:
-                    if waiting:
-                        out += search()
-                        waiting = []
-                s = shingle_set(lowered(t), hasher, n)
-                if b is None:
-                    query, query_set = a, s
+            own = batch.column("b").to_pylist(), batch.column("share").to_pylist(), batch.column("sig").to_pylist(), shingle_sets(batch.column("text"), n, True)
+            for b, share, sig, s in zip(*own, strict=True):
+                if (b, share) != at:
+                    yield from search()
+                    at, query, sets = (b, share), None, {}
+                if fingerprint(s) != sig:
+                    continue
+                if sig == b:
+                    query = s
                 else:
-                    waiting.append((b, s))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out]), pa.array([y for _, y in out])], names=["a", "b"])
-        if waiting and (out := search()):
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out]), pa.array([y for _, y in out])], names=["a", "b"])
+                    sets[sig] = s
+        yield from search()
 
-    together = queries.unionAll(asked).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
-    return together.mapInArrow(task, _PAIR)
+    return placed.repartition("b", "share").sortWithinPartitions("b", "share").mapInArrow(task, _PAIR)
 
 
 def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (least id with an equal set), n_links (to other classes), component_id."""
     spark = docs.sparkSession
-    sized = saved(measured(docs, doc_id, text, n), "jaccard-sizes")
+    survey = saved(surveyed(docs, doc_id, text, n), "jaccard-survey")
+    sized = survey.filter("gram is null").select("doc_id", "n", "sig")
+    listed = most_frequent(survey.filter("gram is not null").select("gram", "n"))
     known = docs.filter(F.col(doc_id).isNotNull())
     classes = saved(sized.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("first_id")), "jaccard-classes")
-    groups = saved(shared_heads(heads(known, text, n, percent, frequent(known, text, n, lower=True))), "jaccard-heads")
+    groups = saved(shared_heads(heads(known, text, n, percent, listed)), "jaccard-heads")
     edges = tried = spark.createDataFrame([], _PAIR)
     labels = None
 
@@ -326,6 +387,8 @@ def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if labels is None:
             return groups.withColumn("comp", F.col("sig"))
         own = labels.select(F.col("v").alias("sig"), "label")
+        if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            own = F.broadcast(own)
         return groups.join(own, "sig", "left").select("gram", "sig", "n", "pos", F.coalesce("label", "sig").alias("comp"))
 
     for k in range(STAR_ROUNDS + 1):
@@ -339,6 +402,7 @@ def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         edges, tried = edges.unionAll(found), tried.unionAll(pairs)
         if not found.isEmpty():
             labels = components(edges)
+    discard(groups)
     if labels is None:
         whole = classes.select("sig", F.col("first_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("first_id").alias("component"))
     else:
