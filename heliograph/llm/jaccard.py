@@ -166,7 +166,7 @@ def heads(docs: DataFrame, text: str, n: int, percent: int, listed) -> DataFrame
             for s in shingle_sets(b.column(0), n, True):
                 if not len(s) or (sig := fingerprint(s)) in seen:
                     continue
-                if len(seen) > 2_000_000:
+                if len(seen) > 300_000:
                     seen.clear()
                 seen.add(sig)
                 k = len(s) - least_overlap(len(s), percent) + 1
@@ -292,29 +292,34 @@ def cross_pairs(groups: DataFrame, percent: int) -> DataFrame:
 
         for (gram, sig, n, pos, comp), starts in _grouped(batches, ["gram", "sig", "n", "pos", "comp"]):
             ends = np.append(starts[1:], len(gram))
-            out, size = [], 0
-            large = ends - starts > GROUP
-            for k in np.flatnonzero(large):  # how often a class is in a large group
-                own = sig[starts[k] : ends[k]]
-                none = np.zeros(len(own), np.int64)
-                out.append((own, none, none, none, none + 2))
-            for k in np.flatnonzero(np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)):
+            size = np.repeat(ends - starts, ends - starts)
+            n, small = n.astype(np.int64), size <= GROUP
+            for d in range(1, GROUP):  # pairs of rows that stand d apart in a small group
+                near = np.flatnonzero(small[d:] & (gram[d:] == gram[:-d]))
+                if not len(near):
+                    break
+                near = near[(comp[near + d] != comp[near]) & (100 * n[near] >= percent * n[near + d])]
+                if len(near):
+                    none = np.zeros(len(near), np.int64)
+                    yield rows([(sig[near + d], sig[near], n[near + d], n[near], none)])
+            for k in np.flatnonzero(ends - starts > GROUP):
                 lo, hi = int(starts[k]), int(ends[k])
-                m, p = n[lo:hi].astype(np.int64), pos[lo:hi].astype(np.int64)
-                for i in np.flatnonzero(p < _index_size(m, percent)) if large[k] else range(hi - lo - 1):
-                    top = int(np.searchsorted(m, 100 * m[i] // percent, "right"))  # larger sets that are not too large
-                    j = np.arange(i + 1, top)
-                    j = j[comp[lo + j] != comp[lo + i]]
-                    if large[k]:
-                        j = j[1 + np.minimum(m[i] - p[i] - 1, m[j] - p[j] - 1) >= pair_overlap(m[i], m[j], percent)]
+                m, p, c, who = n[lo:hi], pos[lo:hi].astype(np.int64), comp[lo:hi], sig[lo:hi]
+                none = np.zeros(hi - lo, np.int64)
+                yield rows([(who, none, none, none, none + 2)])  # how often a class is in a large group
+                out, held = [], 0
+                for i in np.flatnonzero(p < _index_size(m, percent)) if c.min() != c.max() else ():
+                    j = np.arange(i + 1, int(np.searchsorted(m, 100 * m[i] // percent, "right")))  # larger sets that are not too large
+                    j = j[c[j] != c[i]]
+                    j = j[1 + np.minimum(m[i] - p[i] - 1, m[j] - p[j] - 1) >= pair_overlap(m[i], m[j], percent)]
                     if len(j):
-                        out.append((sig[lo + j], np.full(len(j), sig[lo + i]), m[j], np.full(len(j), m[i]), np.full(len(j), int(large[k]))))
-                        size += len(j)
-                        if size > 200_000:
+                        out.append((who[j], np.full(len(j), who[i]), m[j], np.full(len(j), m[i]), np.ones(len(j), np.int64)))
+                        held += len(j)
+                        if held > 100_000 or len(out) > 10_000:
                             yield rows(out)
-                            out, size = [], 0
-            if out:
-                yield rows(out)
+                            out, held = [], 0
+                if out:
+                    yield rows(out)
 
     found = groups.repartition("gram").sortWithinPartitions("gram", "n", "sig").mapInArrow(task, "a long, b long, na int, nb int, big int")
     counted = saved(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("big").alias("big"), F.max("na").alias("na"), F.max("nb").alias("nb")), "jaccard-counted")
