@@ -334,11 +334,11 @@ def cross_pairs(groups: DataFrame, percent: int) -> DataFrame:
 # Verification.
 
 
-def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
-    """Those of the (a, b) that link: b is the query, its a's are the candidates, CHUNK of them to a search.
+def gathered(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """b, share, sig, text: for each b its own text and those of its a's, CHUNK of them to a share.
 
-    A b with many a's has several searches, each with b's text beside its share of the a's, so no key is hot. Texts are
-    fetched by the id of a class's representative and moved once; a text of another set under that id is passed over.
+    A b with many a's has several shares, each with b's text beside its a's, so no key is hot. Texts are fetched by the
+    id of a class's representative.
     """
     shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("int").alias("shares"))
     asked = pairs.join(shares, "b").select("b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.col("a").alias("sig"))
@@ -346,7 +346,69 @@ def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, te
     needed = saved(asked.unionAll(query).join(classes, "sig"), "jaccard-needed")
     rows = docs.select(F.col(doc_id).cast("long").alias("first_id"), F.col(text).alias("text"))
     few = needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    placed = rows.join(F.broadcast(needed) if few else needed, "first_id").select("b", "share", "sig", "text")
+    return rows.join(F.broadcast(needed) if few else needed, "first_id").select("b", "share", "sig", "text")
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Bits of a set by hash, 8 and more to an element; a power of two of them."""
+    size = max(64, 1 << int(8 * len(s) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """At least so many elements are in one of two sets only: bits that differ, after the longer bitmap is folded."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def screened(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
+    """The (a, b) whose bitmaps leave room for a link: 100 * both >= percent * either means that at most
+    (100 - percent) / (100 + percent) of the two sizes together is apart. Only bitmaps are moved; no link is lost."""
+    kinds = pa.schema([("b", pa.int64()), ("share", pa.int32()), ("sig", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())])
+
+    def made(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):  # texts can be long: a few at a time
+                b = batch.slice(lo, 200)
+                sets = list(shingle_sets(b.column("text"), n, True))
+                right = np.array([fingerprint(s) for s in sets]) == b.column("sig").to_numpy()
+                out = [*b.columns[:3], pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s).tobytes() if ok else b"" for s, ok in zip(sets, right, strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, schema=kinds).filter(pa.array(right))
+
+    def task(batches):
+        at, query, held = None, None, []
+
+        def compare():
+            if query is not None:
+                size, bits = query
+                hits = {sig for sig, m, other in held if (100 + percent) * apart(bits, other) <= (100 - percent) * (size + m)}
+                if hits:
+                    yield pa.RecordBatch.from_arrays([pa.array(sorted(hits), pa.int64()), pa.array([at[0]] * len(hits), pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for b, share, sig, m, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (b, share) != at:
+                    yield from compare()
+                    at, query, held = (b, share), None, []
+                bits = np.frombuffer(bits, np.uint64)
+                if sig == b:
+                    query = m, bits
+                else:
+                    held.append((sig, m, bits))
+        yield from compare()
+
+    maps = gathered(pairs, classes, docs, doc_id, text).mapInArrow(made, "b long, share int, sig long, n int, bits binary")
+    return maps.repartition("b", "share").sortWithinPartitions("b", "share").mapInArrow(task, _PAIR)
+
+
+def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
+    """Those of the (a, b) that link: b is the query, its a's are the candidates of T-occurrence searches. A text of another set
+    than its class's is passed over."""
 
     def task(batches):
         at, query, sets = None, None, {}
@@ -373,7 +435,7 @@ def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, te
                     sets[sig] = s
         yield from search()
 
-    return placed.repartition("b", "share").sortWithinPartitions("b", "share").mapInArrow(task, _PAIR)
+    return gathered(pairs, classes, docs, doc_id, text).repartition("b", "share").sortWithinPartitions("b", "share").mapInArrow(task, _PAIR)
 
 
 def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -401,6 +463,8 @@ def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if k:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = saved(pairs, "jaccard-pairs")
+        if k == STAR_ROUNDS:
+            pairs = saved(screened(pairs, classes, known, doc_id, text, n, percent), "jaccard-screened")
         if pairs.isEmpty():
             continue
         found = saved(links(pairs, classes, known, doc_id, text, n, percent), "jaccard-links")
