@@ -128,11 +128,11 @@ def t_occurrence(query: np.ndarray, sets: list[np.ndarray], percent: int = PERCE
 # Candidates.
 
 
-_SURVEY = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("gram", pa.int64())])
+_SURVEY = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("bits", pa.binary()), ("gram", pa.int64())])
 
 
 def surveyed(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """One reading of all texts: doc_id, n, sig (size and fingerprint of each set) where gram is null, else a frequent gram and its count n."""
+    """One reading of all texts: doc_id, n, sig, bits (size, fingerprint and bitmap of each set) where gram is null, else a frequent gram and its count n."""
 
     def task(batches):
         counter = Counter()
@@ -140,19 +140,20 @@ def surveyed(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
         def named():
             gram, count = counter.counted()
             none = pa.nulls(len(gram), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(count), none, pa.array(gram)], schema=_SURVEY)
+            return pa.RecordBatch.from_arrays([none, pa.array(count), none, pa.nulls(len(gram), pa.binary()), pa.array(gram)], schema=_SURVEY)
 
         for b in batches:
-            sizes, sigs = [], []
+            sizes, sigs, bits = [], [], []
             for s in shingle_sets(b.column("text"), n, True):
                 sizes.append(len(s))
                 sigs.append(fingerprint(s))
+                bits.append(bitmap(s).tobytes())
                 if counter.add(s):
                     yield named()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(len(sizes), pa.int64())], schema=_SURVEY)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(sizes), pa.int64())], schema=_SURVEY)
         yield named()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(task, "doc_id long, n long, sig long, gram long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(task, "doc_id long, n long, sig long, bits binary, gram long")
 
 
 def heads(docs: DataFrame, text: str, n: int, percent: int, listed) -> DataFrame:
@@ -350,8 +351,8 @@ def gathered(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str,
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Bits of a set by hash, 8 and more to an element; a power of two of them."""
-    size = max(64, 1 << int(8 * len(s) - 1).bit_length())
+    """Bits of a set by hash, 2 to 4 to an element; a power of two of them, 64 at least."""
+    size = max(64, 1 << (2 * len(s)).bit_length())
     bits = np.zeros(size, np.uint8)
     bits[(s & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -366,44 +367,20 @@ def apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def screened(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
+def screened(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """The (a, b) whose bitmaps leave room for a link: 100 * both >= percent * either means that at most
-    (100 - percent) / (100 + percent) of the two sizes together is apart. Only bitmaps are moved; no link is lost."""
-    kinds = pa.schema([("b", pa.int64()), ("share", pa.int32()), ("sig", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())])
-
-    def made(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 200):  # texts can be long: a few at a time
-                b = batch.slice(lo, 200)
-                sets = list(shingle_sets(b.column("text"), n, True))
-                right = np.array([fingerprint(s) for s in sets]) == b.column("sig").to_numpy()
-                out = [*b.columns[:3], pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s).tobytes() if ok else b"" for s, ok in zip(sets, right, strict=True)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, schema=kinds).filter(pa.array(right))
+    (100 - percent) / (100 + percent) of the two sizes together is apart. No link is lost, and no text is moved."""
 
     def task(batches):
-        at, query, held = None, None, []
-
-        def compare():
-            if query is not None:
-                size, bits = query
-                hits = {sig for sig, m, other in held if (100 + percent) * apart(bits, other) <= (100 - percent) * (size + m)}
-                if hits:
-                    yield pa.RecordBatch.from_arrays([pa.array(sorted(hits), pa.int64()), pa.array([at[0]] * len(hits), pa.int64())], names=["a", "b"])
-
         for batch in batches:
-            for b, share, sig, m, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (b, share) != at:
-                    yield from compare()
-                    at, query, held = (b, share), None, []
-                bits = np.frombuffer(bits, np.uint64)
-                if sig == b:
-                    query = m, bits
-                else:
-                    held.append((sig, m, bits))
-        yield from compare()
+            a, b, na, nb, bits_a, bits_b = (batch.column(k) for k in range(6))
+            room = (100 - percent) * (na.to_numpy() + nb.to_numpy())
+            differ = np.array([apart(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(bits_a, bits_b, strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array((100 + percent) * differ <= room))
 
-    maps = gathered(pairs, classes, docs, doc_id, text).mapInArrow(made, "b long, share int, sig long, n int, bits binary")
-    return maps.repartition("b", "share").sortWithinPartitions("b", "share").mapInArrow(task, _PAIR)
+    for side in "ab":
+        pairs = pairs.join(maps.select(F.col("sig").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(task, _PAIR)
 
 
 def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
@@ -442,10 +419,12 @@ def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per document: doc_id, n_shingles, class_id (least id with an equal set), n_links (to other classes), component_id."""
     spark = docs.sparkSession
     survey = saved(surveyed(docs, doc_id, text, n), "jaccard-survey")
-    sized = survey.filter("gram is null").select("doc_id", "n", "sig")
+    sets = survey.filter("gram is null")
+    sized = sets.select("doc_id", "n", "sig")
     listed = most_frequent(survey.filter("gram is not null").select("gram", "n"))
     known = docs.filter(F.col(doc_id).isNotNull())
-    classes = saved(sized.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("first_id")), "jaccard-classes")
+    each = saved(sets.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("bits").alias("bits")), "jaccard-classes")
+    classes, maps = each.select("sig", "first_id"), each.select("sig", "n", "bits")
     groups = saved(shared_heads(heads(known, text, n, percent, listed)), "jaccard-heads")
     edges = tried = spark.createDataFrame([], _PAIR)
     labels = None
@@ -463,12 +442,12 @@ def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if k:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = saved(pairs, "jaccard-pairs")
-        if k == STAR_ROUNDS:
-            pairs = saved(screened(pairs, classes, known, doc_id, text, n, percent), "jaccard-screened")
-        if pairs.isEmpty():
+        tried = tried.unionAll(pairs)
+        likely = saved(screened(pairs, maps, percent), "jaccard-screened")
+        if likely.isEmpty():
             continue
-        found = saved(links(pairs, classes, known, doc_id, text, n, percent), "jaccard-links")
-        edges, tried = edges.unionAll(found), tried.unionAll(pairs)
+        found = saved(links(likely, classes, known, doc_id, text, n, percent), "jaccard-links")
+        edges = edges.unionAll(found)
         if not found.isEmpty():
             labels = components(edges)
     discard(groups)
