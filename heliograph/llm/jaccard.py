@@ -416,7 +416,8 @@ def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, te
 
 
 def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (least id with an equal set), n_links (to other classes), component_id."""
+    """One row per document: doc_id, n_shingles, class_id (least id with an equal set), n_links (links to other classes that the search met,
+    not those inside a component that was joined before), component_id."""
     spark = docs.sparkSession
     survey = saved(surveyed(docs, doc_id, text, n), "jaccard-survey")
     sets = survey.filter("gram is null")
