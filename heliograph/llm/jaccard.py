@@ -9,7 +9,9 @@ heap with skips, survivors probed in the long lists by bisection, and those that
 Large groups of near copies are not paired off. In each n-gram group all classes are first tried against one of them, in
 rounds; what links becomes a component. Only then are all pairs of different components that share an n-gram considered, so
 no link that could join two components is lost, and a link inside a component changes nothing. A pair is tried if its
-common head n-grams are enough for its overlap even if all that may follow were common too (see cross_pairs).
+common head n-grams are enough for its overlap even if all that may follow were common too (see cross_pairs), and if the
+parities of both sets leave room for it (see screened). Of such pairs the closest one of each component goes first; what
+that leaves between different components follows.
 
 Defined results: a text with fewer than n words has one n-gram, the whole; without words, or null, it has none and links
 with nothing; a null id takes no part and has a null component; repeated rows are in one class and all reported; rows that share
@@ -33,7 +35,7 @@ from .components import components
 from .shingles import Counter, most_frequent, shingle_sets, weights
 
 N, PERCENT = 5, 75
-STAR_ROUNDS = 2
+STAR_ROUNDS, NEAREST_ROUNDS = 2, 1
 #: Candidates of one query that are searched at once, and rows of candidates to a broadcast.
 CHUNK = 256
 #: Classes of a group of which all pairs are counted.
@@ -351,36 +353,51 @@ def gathered(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str,
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Bits of a set by hash, 2 to 4 to an element; a power of two of them, 64 at least."""
-    size = max(64, 1 << (2 * len(s)).bit_length())
-    bits = np.zeros(size, np.uint8)
-    bits[(s & np.uint64(size - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").view(np.uint64)
+    """For each place that a hash can name the parity of a set's elements there; 1 to 2 places to an element, a power of two, 64 at least."""
+    size = max(64, 1 << len(s).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def apart(x: np.ndarray, y: np.ndarray) -> int:
-    """At least so many elements are in one of two sets only: bits that differ, after the longer bitmap is folded."""
+    """At least so many elements are in one of two sets only: each changes one parity, so those that differ, after the longer bitmap is folded."""
     while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
     while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
     return int(np.bitwise_count(x ^ y).sum())
 
 
 def screened(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) whose bitmaps leave room for a link: 100 * both >= percent * either means that at most
-    (100 - percent) / (100 + percent) of the two sizes together is apart. No link is lost, and no text is moved."""
+    """(a, b, far): those whose bitmaps leave room for a link: 100 * both >= percent * either means that at most
+    (100 - percent) / (100 + percent) of the two sizes together is apart. far is the share that is, as far as bitmaps tell.
+    No link is lost, and no text is moved."""
 
     def task(batches):
         for batch in batches:
             a, b, na, nb, bits_a, bits_b = (batch.column(k) for k in range(6))
-            room = (100 - percent) * (na.to_numpy() + nb.to_numpy())
+            both = na.to_numpy() + nb.to_numpy()
             differ = np.array([apart(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(bits_a, bits_b, strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array((100 + percent) * differ <= room))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(differ / both)], names=["a", "b", "far"]).filter(pa.array((100 + percent) * differ <= (100 - percent) * both))
 
     for side in "ab":
         pairs = pairs.join(maps.select(F.col("sig").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits_{side}")), side)
-    return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(task, _PAIR)
+    return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(task, f"{_PAIR}, far double")
+
+
+def divided(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The (a, b, far) between different components, with these as ca and cb."""
+    if labels is None:
+        return pairs.select("a", "b", "far", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    for side in "ab":
+        pairs = pairs.join(labels.select(F.col("v").alias(side), F.col("label").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    return pairs.filter("ca <> cb").select("a", "b", "far", "ca", "cb")
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """(a, b): for each component the closest of its pairs, so at most as many as there are components."""
+    ends = pairs.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("far", "a", "b").alias("pair"))
+    return ends.groupBy("c").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct()
 
 
 def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
@@ -438,19 +455,28 @@ def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             own = F.broadcast(own)
         return groups.join(own, "sig", "left").select("gram", "sig", "n", "pos", F.coalesce("label", "sig").alias("comp"))
 
-    for k in range(STAR_ROUNDS + 1):
-        pairs = (star_pairs if k < STAR_ROUNDS else cross_pairs)(labelled(), percent)
-        if k:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "jaccard-pairs")
-        tried = tried.unionAll(pairs)
-        likely = saved(screened(pairs, maps, percent), "jaccard-screened")
-        if likely.isEmpty():
-            continue
-        found = saved(links(likely, classes, known, doc_id, text, n, percent), "jaccard-links")
-        edges = edges.unionAll(found)
+    def tried_links(asked):
+        nonlocal edges, labels
+        found = saved(links(asked, classes, known, doc_id, text, n, percent), "jaccard-links")
         if not found.isEmpty():
+            edges = edges.unionAll(found)
             labels = components(edges)
+
+    for _ in range(STAR_ROUNDS):
+        pairs = saved(star_pairs(labelled(), percent).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        tried = tried.unionAll(pairs)
+        likely = saved(screened(pairs, maps, percent).select("a", "b"), "jaccard-screened")
+        if not likely.isEmpty():
+            tried_links(likely)
+    pairs = saved(cross_pairs(labelled(), percent).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    likely = saved(screened(pairs, maps, percent), "jaccard-screened")
+    for k in range(NEAREST_ROUNDS + 1):
+        left = saved(divided(likely, labels), "jaccard-left")
+        if left.isEmpty():
+            break
+        asked = saved(nearest(left), "jaccard-nearest") if k < NEAREST_ROUNDS else left.select("a", "b")
+        tried_links(asked)
+        likely = left.select("a", "b", "far").join(asked, ["a", "b"], "left_anti")
     discard(groups)
     if labels is None:
         whole = classes.select("sig", F.col("first_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("first_id").alias("component"))
