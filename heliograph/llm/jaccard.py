@@ -6,8 +6,8 @@ smaller set needs fewer of them), so grouping these by n-gram finds every candid
 T-occurrence: inverted lists over the query's n-grams, the long ones set aside (DivideSkip), the short ones merged on a
 heap with skips, survivors probed in the long lists by bisection, and those that reach their overlap retained.
 
-Large groups of near copies are not paired off. In each n-gram group all classes are first tried against one of them, in
-rounds; what links becomes a component. Only then are all pairs of different components that share an n-gram considered, so
+Large groups of near copies are not paired off. In each n-gram group all classes are first tried against one of them, then
+in rounds against their neighbours by size; what links becomes a component. Only then are all pairs of different components that share an n-gram considered, so
 no link that could join two components is lost, and a link inside a component changes nothing. A pair is tried if its
 common head n-grams are enough for its overlap even if all that may follow were common too (see cross_pairs), and if the
 parities of both sets leave room for it (see screened). Of such pairs the closest one of each component goes first; what
@@ -35,7 +35,9 @@ from .components import components
 from .shingles import Counter, most_frequent, shingle_sets, weights
 
 N, PERCENT = 5, 75
-STAR_ROUNDS, NEAREST_ROUNDS = 2, 1
+STAR_ROUNDS, NEAREST_ROUNDS = 4, 1
+#: An n-gram is named to the common order if a task sees it this often among LOCAL_GRAMS.
+NAMED = 3
 #: Candidates of one query that are searched at once, and rows of candidates to a broadcast.
 CHUNK = 256
 #: Classes of a group of which all pairs are counted.
@@ -137,7 +139,7 @@ def surveyed(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     """One reading of all texts: doc_id, n, sig, bits (size, fingerprint and bitmap of each set) where gram is null, else a frequent gram and its count n."""
 
     def task(batches):
-        counter = Counter()
+        counter = Counter(NAMED)
 
         def named():
             gram, count = counter.counted()
@@ -253,20 +255,25 @@ def _index_size(n, percent):
     return n - ceil_div(2 * percent * n, 100 + percent) + 1
 
 
-def star_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each class with the smallest of its group, where they can link and aren't in one component yet; of these, per
-    class the one that it shares most n-grams with, if these are many. What is left out here is left to cross_pairs."""
+def star_pairs(groups: DataFrame, percent: int, tried: DataFrame, chain: bool) -> DataFrame:
+    """(a, b): each class with the smallest of its group (chain: with the next smaller of another component), where they can link,
+    aren't in one component yet and haven't been tried, if they share many n-grams (chain: all of these, a head has room for about fourteen; else
+    the one that the class shares most with). What is left out here is left to cross_pairs."""
 
     def task(batches):
         for (gram, sig, n, pos, comp), starts in _grouped(batches, ["gram", "sig", "n", "pos", "comp"]):
             first = np.repeat(starts, np.diff(np.append(starts, len(gram))))
+            if chain:  # the row before this one's run of rows of one component, if that is in the group
+                run = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (comp[1:] != comp[:-1])))
+                first = np.maximum(first, np.repeat(run, np.diff(np.append(run, len(gram)))) - 1)
             fits = (100 * n[first].astype(np.int64) >= percent * n.astype(np.int64)) & (comp != comp[first])
             yield pa.RecordBatch.from_arrays([pa.array(x[fits]) for x in (sig, sig[first], n, n[first])], names=["a", "b", "na", "nb"])
 
     pairs = groups.repartition("gram").sortWithinPartitions("gram", "n", "sig").mapInArrow(task, "a long, b long, na int, nb int")
     counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    likely = counted.filter(2 * F.col("c") + F.greatest(_after("na", percent), _after("nb", percent)) >= _overlap("na", "nb", percent))
-    return likely.groupBy("a").agg(F.max_by("b", "c").alias("b"))
+    likely = counted.filter((6 if chain else 2) * F.col("c") + F.greatest(_after("na", percent), _after("nb", percent)) >= _overlap("na", "nb", percent))
+    new = likely.join(tried, ["a", "b"], "left_anti")
+    return new.select("a", "b") if chain else new.groupBy("a").agg(F.max_by("b", "c").alias("b"))
 
 
 def _overlap(na, nb, percent):
@@ -462,8 +469,8 @@ def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             edges = edges.unionAll(found)
             labels = components(edges)
 
-    for _ in range(STAR_ROUNDS):
-        pairs = saved(star_pairs(labelled(), percent).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    for k in range(STAR_ROUNDS):
+        pairs = saved(star_pairs(labelled(), percent, tried, chain=k > 0), "jaccard-pairs")
         tried = tried.unionAll(pairs)
         likely = saved(screened(pairs, maps, percent).select("a", "b"), "jaccard-screened")
         if not likely.isEmpty():

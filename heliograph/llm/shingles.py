@@ -33,8 +33,8 @@ def shingle_sets(column, n: int, lower: bool):
 class Counter:
     """Names the n-grams that a task sees often. It holds LOCAL_GRAMS at most, and one text."""
 
-    def __init__(self):
-        self.held, self.size = [], 0
+    def __init__(self, least: int = LOCAL_COUNT):
+        self.held, self.size, self.least = [], 0, least
 
     def add(self, s: np.ndarray) -> bool:
         """True once counted() is due."""
@@ -45,7 +45,7 @@ class Counter:
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
         gram, count = np.unique(np.concatenate([np.empty(0, np.uint64), *self.held]), return_counts=True)
         self.held, self.size = [], 0
-        many = count >= LOCAL_COUNT
+        many = count >= self.least
         return gram[many].view(np.int64), count[many].astype(np.int64)
 
 
