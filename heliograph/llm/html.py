@@ -1,17 +1,24 @@
 """Operator 7: main text of HTML by equivalence classes of template tokens.
 
-Across the pages of a host each tag token has an occurrence vector (its count on each page). Tokens that share a vector
-form a class; a class is valid if it has support and its start and end tokens pair up. Vectors are compared by additive
-fingerprints, so classes come from one aggregation with map-side sums, whatever share of all pages a host has. Valid
-elements nest into the host's template; on a page, text falls into the slots between them. Slots of menus, headers,
+Tokens are the tags of region elements and the lines of text between block tags (white space made one blank; words alone
+repeat by chance). A token is told by its path: the open region elements with their class, id and role, runs of digits
+made one sign. Across the pages of a host each token has an occurrence vector (its count on each page), and tokens whose
+vectors are the same up to a factor form a class. A class of tags is valid if different pages support it and its start and
+end tags pair up; such elements nest into the host's template. A line is part of the template if it is in the class of the
+valid element around it, or of the page itself (as often on every page of the host); it is constant and left out. All
+other lines fill slots and vary. Vectors are compared by additive fingerprints, so classes come from one aggregation with
+map-side sums, whatever share of all pages a host has.
+
+Menus and adverts vary from page to page as well, so which slots are main text is told by names: slots of menus, headers,
 footers, sidebars, notices, adverts, forms, comments and the like are left out; the remaining ones are the main text:
-those inside article (else main, else a content container), or everything that remains if there is none.
+those inside article (else main, else a content container), or everything that remains if there is none. Names alone
+decide where classes can't: on a host with one page or copies of one, for a content container in which more is constant than
+varies (a copied article rather than a template), and for a page on which nothing would remain.
 
-Markup outside valid classes (an unclosed <b>, a <p> without end) never opens a slot. An element that the template lacks,
-as on a host with one page, counts if it is balanced on the page itself or bounds a region by its meaning.
+On a page an element opens a slot if it is balanced there or bounds a region by its meaning.
 
 Defined results: null or empty html gives empty text; a null url is a host of its own; broken markup is read as far as it
-goes, and an unended tag or comment reaches to the end; repeated rows give equal rows; an empty table an empty result.
+goes, and an unended tag or comment reaches to the end; repeated rows give equal rows and support nothing; an empty table an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +49,10 @@ OUT_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header legal login masthead menu menus modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond search share sharing sidebar sidebars social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
 CONTENT_WORDS = set("article content entry main post story".split())
-HOST_BYTES = 8 << 20
+PATH = REGION & BLOCK
+DIGITS = re.compile(r"[0-9]+")
+#: Constant lines of all hosts that are broadcast; beyond that the pages of a host are dealt into so many parts.
+HOST_BYTES, SALTS = 8 << 20, 16
 
 
 def attributes(text: str) -> str:
@@ -53,69 +63,132 @@ def words_of(attrs: str) -> set[str]:
     return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", attrs).lower())) if attrs else set()
 
 
+def tokens_of(text: str | None) -> list[tuple[int, str, str]]:
+    """(0, "", text), (1, name, attributes) of a start tag and (2, name, attributes) of an end tag, in order."""
+    text = RAW.sub(" ", text or "")
+    tokens, at = [], 0
+    for m in TOKEN.finditer(text):
+        if m.start() > at:
+            tokens.append((0, "", text[at : m.start()]))
+        if m[2]:
+            tokens.append((2 if m[1] else 1, m[2].lower(), m[3]))
+        at = m.end()
+    if at < len(text):
+        tokens.append((0, "", text[at:]))
+    return tokens
+
+
+def key_of(up: int, kind: str, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{up} {kind} {text}".encode("utf-8", "surrogatepass")) >> 1
+
+
+def template_tokens(tokens) -> tuple[dict, dict]:
+    """The page's tokens as the template sees them: {key: [name, key of the element around it, starts, ends]} of region elements
+    (0 is the page), and {index of the token that ends a line: (key, key of the element around it, line)}."""
+    found, lines = {0: ["", 0, 1, 1]}, {}
+    stack: list[tuple[str, int]] = [("", 0)]
+    part: list[str] = []
+    for i, (kind, name, rest) in enumerate(tokens):
+        if kind == 0:
+            part.append(rest)
+            continue
+        if name == "br":
+            part.append(" ")
+        if name not in BLOCK:
+            continue
+        if part:
+            _line(lines, i, stack[-1][1], part)
+        if name not in PATH:
+            continue
+        if kind == 1:
+            up = stack[-1][1]
+            key = key_of(up, "<", f"{name} {DIGITS.sub('#', attributes(rest))}")
+            found.setdefault(key, [name, up, 0, 0])[2] += 1
+            stack.append((name, key))
+        else:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] == name:
+                    found[stack[k][1]][3] += 1
+                    del stack[k:]
+                    break
+    if part:
+        _line(lines, len(tokens), stack[-1][1], part)
+    return found, lines
+
+
+def _line(lines, i, up, part):
+    line = SPACE.sub(" ", entities.unescape("".join(part))).strip(" \t\n\r\f\v")
+    if line:
+        lines[i] = key_of(up, "t", line), up, line
+    part.clear()
+
+
 def host_tokens(pages: DataFrame) -> DataFrame:
-    """host, name, pages, starts and ends as fingerprints of occurrence vectors, summed over the host's pages."""
+    """host, token, up, name (null for a line), pages, starts and ends as fingerprints of occurrence vectors and as counts, summed over the
+    host's pages, and the least and greatest of these pages' hashes."""
 
     def task(batches):
         for b in batches:
             out = []
             for host, text in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                starts, ends = Counter(), Counter()
-                for m in TOKEN.finditer(RAW.sub("", text or "")):
-                    if m[2]:
-                        (ends if m[1] else starts)[m[2].lower()] += 1
-                page = xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) & 0x3FFFFFFF
-                out += [(host, name, 1, starts[name] * page, ends[name] * page, starts[name], ends[name]) for name in starts.keys() | ends.keys() if name not in VOID]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string() if i < 2 else pa.int64()) for i in range(7)], names=["host", "name", "pages", "s", "e", "ns", "ne"])
+                tokens = tokens_of(text)
+                if not tokens:
+                    continue
+                found, lines = template_tokens(tokens)
+                page = xxhash.xxh3_64_intdigest(RAW.sub(" ", text).encode("utf-8", "surrogatepass")) & 0x3FFFFFFF
+                out += [(host, name, key, up, 1, ns * page, ne * page, ns, ne, page, page) for key, (name, up, ns, ne) in found.items()]
+                out += [(host, None, key, up, 1, n * page, 0, n, 0, page, page) for (key, up), n in Counter((key, up) for key, up, _ in lines.values()).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string() if i < 2 else pa.int64()) for i in range(11)], names=["host", "name", "token", "up", "pages", "s", "e", "ns", "ne", "lo", "hi"])
+
+    rows = pages.select("host", "html").mapInArrow(task, "host string, name string, token long, up long, pages long, s long, e long, ns long, ne long, lo long, hi long")
+    return rows.groupBy("host", "token", "up", "name").agg(*(F.sum(c).alias(c) for c in ("pages", "s", "e", "ns", "ne")), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def supported(tokens: DataFrame, support: int) -> DataFrame:
+    """Tokens on at least ``support`` pages that aren't all the same, tags also with ``paired``; and each host's page token."""
+    paired = (F.col("s") == F.col("e")) & (F.col("ns") == F.col("ne"))
+    return tokens.filter((F.col("token") == 0) | (F.col("pages") >= support) & (F.col("lo") < F.col("hi"))).withColumn("paired", paired & (F.col("pages") >= support) & (F.col("lo") < F.col("hi")))
+
 
-    rows = pages.select("host", "html").mapInArrow(task, "host string, name string, pages long, s long, e long, ns long, ne long")
-    return rows.groupBy("host", "name").agg(*(F.sum(c).alias(c) for c in ("pages", "s", "e", "ns", "ne")))
+def constant_lines(held: DataFrame) -> DataFrame:
+    """host, token of the lines in a valid class: their vector is that of the valid element around them, or of the page, up to a factor."""
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    valid = held.filter("name is not null and paired").select(F.col("host").alias("u_host"), F.col("token").alias("u_token"), F.col("s").alias("u_s"), F.col("ns").alias("u_ns"))
+    lines = held.filter("name is null").select("host", "token", "up", "s", "ns")
+    around = lines.withColumn("u", F.explode(F.array_distinct(F.array(F.col("up"), F.lit(0).cast("long")))))
+    same = wide("s") * wide("u_ns") == wide("u_s") * wide("ns")
+    return around.join(valid, (F.col("host") == F.col("u_host")) & (F.col("u") == F.col("u_token")) & same).select("host", "token").distinct()
 
 
 def host_templates(pages: DataFrame, support: int = 2) -> DataFrame:
-    """host, valid: names of the elements in valid classes. A class is the names whose start tokens share a vector; it is valid
-    if it has support and the end tokens have the same vector, so that its members pair up and can nest."""
-    tokens = host_tokens(pages)
-    classes = tokens.groupBy("host", "s", "ns").agg(F.collect_set(F.when((F.col("pages") >= support) & (F.col("s") == F.col("e")) & (F.col("ns") == F.col("ne")), F.col("name"))).alias("names"))
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("names")).alias("valid"))
+    """host, valid: names of the region elements in valid classes; constant: keys of the lines that belong to the template."""
+    held = saved(supported(host_tokens(pages), support), "html-tokens")
+    names = held.groupBy("host").agg(F.collect_set(F.when(F.col("paired") & (F.col("name") != ""), F.col("name"))).alias("valid"))
+    lines = constant_lines(held).groupBy(F.col("host").alias("l_host")).agg(F.collect_list("token").alias("constant"))
+    return names.join(lines, F.col("host") == F.col("l_host"), "left").select("host", "valid", F.coalesce("constant", F.array().cast("array<long>")).alias("constant"))
 
 
-def extract(text: str | None, valid: set[str]) -> str:
-    """The main text of one page under its host's template."""
+def extract(text: str | None, constant=frozenset()) -> str:
+    """The main text of one page; ``constant`` holds the keys of the lines of its host's template."""
     if not text:
         return ""
-    text = RAW.sub(" ", text)
-    tokens, at = [], 0  # (kind, name, attributes or text)
-    for m in TOKEN.finditer(text):
-        if m.start() > at:
-            tokens.append((0, "", text[at : m.start()]))
-        if m[2]:
-            tokens.append((2 if m[1] else 1, m[2].lower(), m[3]))
-        at = m.end()
-    if at < len(text):
-        tokens.append((0, "", text[at:]))
+    tokens = tokens_of(text)
+    lines = template_tokens(tokens)[1]
     starts, ends = Counter(n for k, n, _ in tokens if k == 1), Counter(n for k, n, _ in tokens if k == 2)
-    nested = {n for n in starts if n not in VOID and (n in valid or starts[n] == ends[n] or n in REGION)} - {"p"}
+    nested = {n for n in starts if n not in VOID and (starts[n] == ends[n] or n in REGION)} - {"p"}
     stack: list[tuple[str, bool, int]] = []  # name, left out, rank of the container
-    slots: list[tuple[int, bool, str]] = []
-    part: list[str] = []
+    slots: list[tuple[int, bool, bool, str]] = []  # rank, left out by name, constant over the host, line
     ended: list[tuple[int, bool]] = [(0, False)]
 
-    def flush():
-        if part:
-            line = SPACE.sub(" ", entities.unescape("".join(part))).strip(" \t\n\r\f\v")
-            if line:
-                slots.append((*ended[0], line))
-            part.clear()
+    def flush(i):
+        if i in lines:
+            key, _, line = lines[i]
+            slots.append((*ended[0], key in constant, line))
 
-    for kind, name, rest in tokens:
+    for i, (kind, name, rest) in enumerate(tokens):
         if kind == 0:
-            part.append(rest)
             continue
-        if name in BLOCK:
-            flush()
-        elif name == "br":
-            part.append(" ")
+        flush(i)
         if name not in nested:
             continue
         if kind == 1:
@@ -135,27 +208,62 @@ def extract(text: str | None, valid: set[str]) -> str:
                     del stack[i:]
                     break
         ended[0] = (max((r for _, _, r in stack), default=0), any(o for _, o, _ in stack))
-    flush()
-    kept = [(r, line) for r, out, line in slots if not out]
+    flush(len(tokens))
+    named = [(r, same, line) for r, out, same, line in slots if not out]
+    size = Counter()  # of constant lines less that of varying ones, for each rank of a content container
+    for r, same, line in named:
+        size[r] += len(line) if same else -len(line)
+    kept = [(r, line) for r, same, line in named if not same or r and size[r] > 0] or [(r, line) for r, _, line in named]
     best = max((r for r, _ in kept), default=0)
     return "\n".join(line for r, line in kept if r == best or best == 3 and r >= 3)
 
 
+def with_templates(rows: DataFrame, found: DataFrame, task, schema: str) -> DataFrame:
+    """task(batches, constant lines by host) over rows. The lines of all hosts are broadcast if they are few, else each host's rows follow its lines."""
+    if (found.agg(F.sum(F.octet_length("host") + 24).alias("b")).first()["b"] or 0) <= HOST_BYTES:
+        by: dict[str, set[int]] = {}
+        for r in found.toLocalIterator():
+            by.setdefault(r["host"], set()).add(r["token"])
+        sent = rows.sparkSession.sparkContext.broadcast(by)
+        return rows.mapInArrow(lambda batches: task(batches, sent.value), schema)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).withColumn("_token", F.lit(None).cast("long"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c != "host"]
+    first = found.select("host", *none, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.col("token").alias("_token"))
+    both = first.unionByName(salted).repartition("host", "_salt").sortWithinPartitions("host", "_salt", F.col("_token").asc_nulls_last())
+
+    def streamed(batches):
+        at, own = None, set()
+        for b in batches:
+            names = list(zip(b.column("host").to_pylist(), b.column("_salt").to_pylist(), b.column("_token").to_pylist(), strict=True))
+            lo = 0
+            for k, (host, salt, token) in enumerate([*names, (None, None, None)]):
+                if k == len(names) or (host, salt) != at or token is not None:
+                    if lo < k:
+                        yield from task([b.slice(lo, k - lo)], {at[0]: own})
+                    lo = k
+                    if k < len(names) and (host, salt) != at:
+                        at, own = (host, salt), set()
+                    if token is not None:
+                        own.add(token)
+                        lo = k + 1
+
+    return both.mapInArrow(streamed, schema)
+
+
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", support: int = 2) -> DataFrame:
     """page_id, url, text, n_chars of each row."""
     host = F.coalesce(host_and_path(F.col(url))[0], F.lit(""))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
-    templates = saved(host_templates(rows, support), "html-templates").select(F.col("host").alias("_host"), "valid")
-    heavy = templates.agg(F.sum(F.octet_length("_host") + 16 + F.size("valid") * 16).alias("b")).first()["b"] or 0
-    joined = rows.join(F.broadcast(templates) if heavy <= HOST_BYTES else templates, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "valid")
+    held = saved(supported(host_tokens(rows), support), "html-tokens")
+    found = saved(constant_lines(held), "html-constant")
 
-    def task(batches):
+    def task(batches, constant):
         for b in batches:
-            texts = [extract(h, set(v or ())) for h, v in zip(b.column("html").to_pylist(), b.column("valid").to_pylist(), strict=True)]
+            texts = [extract(h, constant.get(own, ())) for own, h in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))], names=["page_id", "url", "text", "n_chars"])
 
     kind = dict(rows.dtypes)["page_id"]
-    return joined.mapInArrow(task, f"page_id {kind}, url string, text string, n_chars long")
+    return with_templates(rows, found, task, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op7_main_text(spark, sf_dir):

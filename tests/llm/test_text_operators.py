@@ -211,6 +211,22 @@ def test_templates(spark):
     assert {r.host: sorted(r.valid) for r in html.host_templates(pages).collect()} == {"h": ["div"], "g": []}
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_other_pages_of_the_host_decide(spark, monkeypatch, few):
+    if not few:  # as with more constant lines than are broadcast
+        monkeypatch.setattr(html, "HOST_BYTES", -1)
+    page = '<body><div class="x{0}">Home</div><div>Own text {0}</div>{1}<div>Ask us</div></body>'
+    aside = '<div class="deal">Buy <b>now</b></div>'
+    pages = [page.format(i, aside if i < 3 else "") for i in range(1, 5)]
+    pages.append("<body><article><p>A story of some length that is told here</p><p>told once more</p></article><p>Ask us</p></body>")
+    rows = [(i, f"http://many/{i}", p) for i, p in enumerate(pages[:4])] + [(10, "http://alone/", pages[0]), (11, "http://alone/again", pages[0])]
+    rows += [(20, "http://copies/1", pages[4]), (21, "http://copies/2", pages[4].replace("once", "twice"))]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert [got[i] for i in range(4)] == [f"Own text {i}" for i in range(1, 5)]
+    assert got[10] == got[11] == "Home\nOwn text 1\nBuy now\nAsk us"
+    assert got[20] == "A story of some length that is told here\ntold once more" and "twice" in got[21]
+
+
 # Jaccard.
 
 
