@@ -13,6 +13,9 @@ common head n-grams are enough for its overlap even if all that may follow were
 parities of both sets leave room for it (see screened). Of such pairs the closest one of each component goes first; what
 that leaves between different components follows.
 
+Links are counted at the end, when every link lies inside one component: its classes, in order of size, are dealt into
+blocks, and each two blocks whose sizes can link are searched for all their links (see link_counts). Only counts leave a task.
+
 Defined results: a text with fewer than n words has one n-gram, the whole; without words, or null, it has none and links
 with nothing; a null id takes no part and has a null component; repeated rows are in one class and all reported; rows that share
 an id but not a text are told apart by their sets; an empty table gives an empty result. Fingerprints are 64-bit.
@@ -27,7 +30,7 @@ from math import log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, saved, table
@@ -43,6 +46,8 @@ CHUNK = 256
 #: Classes of a group of which all pairs are counted.
 GROUP = 64
 BROADCAST_ROWS = 400_000
+#: Links are counted between blocks of so many n-grams, where each class counts for ROW_GRAMS more.
+BLOCK_GRAMS, ROW_GRAMS = 512_000, 250
 _PAIR = "a long, b long"
 
 
@@ -439,9 +444,101 @@ def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, te
     return gathered(pairs, classes, docs, doc_id, text).repartition("b", "share").sortWithinPartitions("b", "share").mapInArrow(task, _PAIR)
 
 
+class Lists:
+    """Inverted lists of a block of sets. For an n-gram that most sets have, the list names those without it: near copies have short lists."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.k = k = len(sets)
+        gram, owner = np.concatenate(sets), np.repeat(np.arange(k), [len(s) for s in sets])
+        order = np.argsort(gram, kind="stable")
+        gram, owner = gram[order], owner[order]
+        starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        many = np.diff(np.append(starts, len(gram)))
+        self.grams, self.dense = gram[starts], 2 * many > k
+        of_dense = np.repeat(self.dense, many)
+        without = np.ones((int(self.dense.sum()), k), bool)  # 2 cells at most for each n-gram of the block
+        without[np.repeat(np.cumsum(self.dense) - 1, many)[of_dense], owner[of_dense]] = False
+        self.lists = np.concatenate([owner[~of_dense], np.nonzero(without)[1]])
+        self.length = np.where(self.dense, k - many, many)
+        self.start = np.empty(len(many), np.int64)
+        at = 0
+        for kind in (~self.dense, self.dense):
+            self.start[kind] = at + np.cumsum(self.length[kind]) - self.length[kind]
+            at += int(self.length[kind].sum())
+
+    def _named(self, at):
+        length = self.length[at]
+        flat = np.arange(length.sum()) + np.repeat(self.start[at] - np.cumsum(length) + length, length)
+        return np.bincount(self.lists[flat], minlength=self.k)
+
+    def common(self, query: np.ndarray) -> np.ndarray:
+        """For each set of the block how many n-grams of the query it has."""
+        at = np.minimum(np.searchsorted(self.grams, query), len(self.grams) - 1)
+        at = at[self.grams[at] == query]
+        dense = self.dense[at]
+        return int(dense.sum()) + self._named(at[~dense]) - self._named(at[dense])
+
+
+def block_links(first: list[np.ndarray], second: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """How many links each set of ``first`` has to ``second`` and the reverse; without ``second``, to the others of ``first``."""
+    other = first if second is None else second
+    lists, sizes = Lists(other), np.array([len(s) for s in other])
+    own, back = np.zeros(len(first), np.int64), np.zeros(len(other), np.int64)
+    for q, s in enumerate(first):
+        hit = (100 + percent) * lists.common(s) >= percent * (len(s) + sizes)
+        if second is None:
+            hit[q] = False
+        own[q] = hit.sum()
+        back += hit
+    return own, None if second is None else back
+
+
+def link_counts(member: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
+    """sig, n_links of the classes that have links, from member (sig, first_id, n, label). A link's ends are in one component, so each two blocks of
+    a component are searched, unless all sets of one are too small for the other. A class's text moves once for each block of its component that it can link to."""
+    order = Window.partitionBy("label").orderBy("n", "sig").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("n") + ROW_GRAMS).over(order), F.lit(0))
+    placed = saved(member.withColumn("block", F.floor(before / F.lit(BLOCK_GRAMS)).cast("int")), "jaccard-placed")
+    blocks = saved(placed.groupBy("label", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "jaccard-blocks")
+    larger = blocks.select(F.col("label").alias("l"), F.col("block").alias("j"), F.col("lo").alias("lo_j"))
+    jobs = blocks.withColumnRenamed("block", "i").join(larger, F.col("label") == F.col("l")).filter((F.col("i") <= F.col("j")) & (100 * F.col("hi") >= percent * F.col("lo_j")))
+    sides = jobs.select("label", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    needed = saved(sides.join(placed, ["label", "block"]).select("label", "i", "j", "block", "sig", "first_id"), "jaccard-counting")
+    rows = docs.select(F.col(doc_id).cast("long").alias("first_id"), F.col(text).alias("text"))
+    few = needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = rows.join(F.broadcast(needed) if few else needed, "first_id").select("label", "i", "j", "block", "sig", "text")
+
+    def task(batches):
+        at, sides = None, {}
+
+        def count():
+            if at is None:
+                return
+            first, second = sides.get(at[1], {}), sides.get(at[2], {}) if at[1] != at[2] else None
+            if not first or second is not None and not second:
+                return
+            for side, links in zip((first, second), block_links(list(first.values()), second and list(second.values()), percent), strict=True):
+                if side and links.any():
+                    got = np.flatnonzero(links)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(list(side), np.int64)[got]), pa.array(links[got])], names=["sig", "n_links"])
+
+        for b in batches:
+            own = (b.column(c).to_pylist() for c in ("label", "i", "j", "block", "sig"))
+            for label, i, j, block, sig, s in zip(*own, shingle_sets(b.column("text"), n, True), strict=True):
+                if (label, i, j) != at:
+                    yield from count()
+                    at, sides = (label, i, j), {}
+                if fingerprint(s) == sig:
+                    sides.setdefault(block, {})[sig] = s
+        yield from count()
+
+    found = texts.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(task, "sig long, n_links long")
+    return found.groupBy("sig").agg(F.sum("n_links").alias("n_links"))
+
+
 def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (least id with an equal set), n_links (links to other classes that the search met,
-    not those inside a component that was joined before), component_id."""
+    """One row per document: doc_id, n_shingles, class_id (least id with an equal set), n_links (how many other classes its set links to),
+    component_id."""
     spark = docs.sparkSession
     survey = saved(surveyed(docs, doc_id, text, n), "jaccard-survey")
     sets = survey.filter("gram is null")
@@ -488,7 +585,8 @@ def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if labels is None:
         whole = classes.select("sig", F.col("first_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("first_id").alias("component"))
     else:
-        degree = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("sig")).agg(F.count(F.lit(1)).alias("n_links"))
+        linked = each.select("sig", "first_id", "n").join(labels.select(F.col("v").alias("sig"), "label"), "sig")
+        degree = saved(link_counts(linked, known, doc_id, text, n, percent), "jaccard-degrees")
         member = saved(classes.join(labels.select(F.col("v").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")), "jaccard-members")
         least = saved(member.groupBy(F.col("label").alias("l")).agg(F.min("first_id").alias("component")), "jaccard-least")
         whole = member.join(least, member.label == least.l).join(degree, "sig", "left").select("sig", F.col("first_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component")

@@ -266,6 +266,24 @@ def test_jaccard(spark, corpus, monkeypatch, small):
     assert sorted(kept) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_counts_every_link(spark, monkeypatch, small):
+    if small:
+        for name, value in (("BLOCK_GRAMS", 600), ("BROADCAST_ROWS", 0)):
+            monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(90)]
+    rows = [(900, " ".join(base)), (901, " ".join(base).upper()), (902, "stands alone with five words")]
+    for i in range(30):  # one group of different near copies, some of which are too far apart to link
+        ws = base[: rng.randint(70, 90)]
+        ws[rng.randrange(len(ws))] = f"x{i}"
+        rows.append((i, " ".join(ws)))
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, w in ((i, t.lower().split()) for i, t in rows)}
+    want = {i: sum(4 * len(s & x) >= 3 * len(s | x) for x in set(sets.values()) - {s}) for i, s in sets.items()}
+    got = {r.doc_id: r.n_links for r in jaccard.with_components(frame(spark, rows)).collect()}
+    assert got == want and max(want.values()) > 10 and want[902] == 0
+
+
 def test_jaccard_random(spark):
     rng = random.Random(11)
     rows = []
