@@ -2,7 +2,8 @@
 
 Trust starts at hosts by the share of their pages that allow rules fit and follows links, distrust starts by the share
 that block rules fit and goes against links (who links to a blocked host is suspect), each as personalised PageRank:
-score = seed + damping * inflow / degree. A host is blocked if its distrust is at least ``threshold`` and above its trust.
+score = seed + damping * inflow / degree, until no score moves by the tolerance. A host without pages starts by the share of
+the different URLs linked to at it. A host is blocked if its distrust is at least ``threshold`` and above its trust.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule and verdict allow; null html has
 no links; the longest fitting rule wins, of equally long ones the first given; repeated rows are judged each; an empty table
@@ -11,10 +12,12 @@ gives an empty result. Input columns other than the three named are left out.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, saved, table
+from .common import discard, lower_ascii, saved, table
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: More rules than this are joined by host suffix instead of being tried in turn.
@@ -49,36 +52,47 @@ def with_rules(pages: DataFrame, rules) -> DataFrame:
     return pages.join(best, ["host", "path"], "left").select("*", "_fit.rule", "_fit.kind").drop("_fit")
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """Distinct (src, dst) of links between hosts; pages has host and html."""
-    found = F.regexp_extract_all("html", F.lit(r"(?i)\bhref\s*=\s*[\"']?\s*[a-z][a-z0-9+.-]*://([^/?#\"'\s>]*)"), F.lit(1))
-    links = pages.filter(F.contains("html", F.lit("://"))).select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(found, lower_ascii))).alias("dst"))
-    return links.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("pages")).select("src", "dst")
+def links_of(pages: DataFrame) -> DataFrame:
+    """Distinct (src, host, path) of links to other hosts; pages has host and html."""
+    found = F.regexp_extract_all("html", F.lit(r"(?i)\bhref\s*=\s*(\"\s*[a-z][a-z0-9+.-]*://[^\"<>]*|'\s*[a-z][a-z0-9+.-]*://[^'<>]*|[a-z][a-z0-9+.-]*://[^\s>\"']*)"), F.lit(1))
+    links = pages.filter(F.contains("html", F.lit("://"))).select(F.col("host").alias("src"), F.explode(F.array_distinct(found)).alias("url"))
+    host, path = host_and_path(F.regexp_replace("url", r"[\s\"']+$", ""))
+    return links.select("src", F.regexp_replace(host, r"(?s)[\s\"'>].*$", "").alias("host"), path.alias("path")).filter("src <> '' and host <> '' and src <> host").distinct()
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, tolerance: float) -> DataFrame:
-    """Scores (host, score) from seeds (host, seed) along edges src -> dst; a node passes its score on in equal shares."""
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int | None, tolerance: float) -> DataFrame:
+    """Scores (host, score) from seeds (host, seed) along edges src -> dst; a node passes its score on in equal shares. Ends since
+    what moves shrinks by damping a round; raises if ``rounds`` are given and don't suffice."""
+    if not (0 <= damping < 1 and tolerance > 0):
+        raise ValueError("damping must be in [0, 1) and tolerance above 0")
     shares = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    weighted = saved(edges.join(shares, "src"), "url-edges")
+    weighted = saved(edges.join(shares, "src"), "url-weighted")
     score = saved(seeds.select("host", F.col("seed").alias("score")), "url-score")
-    for _ in range(rounds):
+    for k in count():
+        if k == rounds:
+            raise RuntimeError(f"scores still change after {rounds} rounds")
         flow = weighted.join(score, weighted.src == score.host).groupBy("dst").agg((damping * F.sum(F.col("score") / F.col("degree"))).alias("flow"))
         both = seeds.join(flow, seeds.host == flow.dst, "full_outer").select(F.coalesce("host", "dst").alias("host"), (F.coalesce("seed", F.lit(0.0)) + F.coalesce("flow", F.lit(0.0))).alias("score"))
         old, score = score, saved(both, "url-score")
         moved = score.join(old.select("host", F.col("score").alias("was")), "host", "left").agg(F.max(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0)))).alias("d")).first()["d"]
+        discard(old)
         if (moved or 0) < tolerance:
             break
     return score
 
 
-def judged_hosts(pages: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-4, threshold: float = 0.5) -> DataFrame:
+def judged_hosts(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4, threshold: float = 0.5) -> DataFrame:
     """host, trust, distrust, blocked, for pages with host, html and kind. One saved row per host."""
     share = lambda k: F.avg(F.when(F.col("kind") == k, 1.0).otherwise(0.0))
     seeds = saved(pages.filter("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")), "url-seeds")
-    edges = saved(host_edges(pages), "url-links")
+    links = saved(links_of(pages), "url-links")
+    edges = saved(links.select("src", F.col("host").alias("dst")).distinct(), "url-edges")
     if edges.isEmpty():
         scores = seeds
     else:
+        targets = links.select("host", "path").distinct().join(seeds.select("host"), "host", "left_anti")
+        linked = with_rules(targets, rules).groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
+        seeds = saved(seeds.unionByName(linked), "url-seeds")
         trust = propagated(edges, seeds.filter("trust > 0").select("host", F.col("trust").alias("seed")), damping, rounds, tolerance)
         back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         distrust = propagated(back, seeds.filter("distrust > 0").select("host", F.col("distrust").alias("seed")), damping, rounds, tolerance)
@@ -91,7 +105,7 @@ def filter_urls(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: st
     """page_id, host, path, rule, verdict, trust, distrust of each row."""
     host, path = host_and_path(F.col(url))
     seen = with_rules(pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), F.col(html).alias("html")), rules)
-    hosts = judged_hosts(seen, **options).select(F.col("host").alias("_host"), "trust", "distrust", "blocked")
+    hosts = judged_hosts(seen, rules, **options).select(F.col("host").alias("_host"), "trust", "distrust", "blocked")
     if hosts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         hosts = F.broadcast(hosts)
     joined = seen.drop("html").join(hosts, F.col("host") == F.col("_host"), "left")

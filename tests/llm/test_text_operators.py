@@ -188,6 +188,22 @@ def test_links_spread(spark):
     assert got[4].trust == pytest.approx(0.85) and got[4].verdict == got[5].verdict == "allow"
 
 
+def test_links_to_hosts_without_pages(spark):
+    rows = [(1, "http://farm.info/", "<a href='HTTP://Spam.com/en/x?q'>"), (2, "http://half.info/", '<a href=" http://mixed.com/en/1 "><a href=http://mixed.com/fr/1><a href="http://mixed.com/fr/2#f">'), (3, "http://fan.info/", '<a href="http://good.net/de/9">')]
+    got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].verdict == "block" and got[1].distrust == pytest.approx(0.85)
+    assert got[2].verdict == "allow" and got[2].distrust == pytest.approx(0.85 / 3) and got[3].verdict == "allow" and not got[3].distrust
+
+
+def test_scores_of_a_cycle_settle(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    seeds = spark.createDataFrame([("a", 1.0)], "host string, seed double")
+    got = {r.host: r.score for r in urls.propagated(edges, seeds, 0.85, None, 1e-4).collect()}
+    assert got["a"] == pytest.approx(1 / (1 - 0.85**2), abs=2e-3) and got["b"] == pytest.approx(0.85 / (1 - 0.85**2), abs=2e-3)
+    with pytest.raises(RuntimeError):
+        urls.propagated(edges, seeds, 0.85, 3, 1e-4)
+
+
 # HTML.
 
 PAGE = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a href='/'>menu</a></nav>{extra}<article><h1>Head &amp; more</h1><p>One\n two<p><b>three<br>four</article>{after}<footer>&copy; foot</footer></body></html>"
