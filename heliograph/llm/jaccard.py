@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import discard, saved, table
 from .components import components
@@ -539,6 +540,11 @@ def link_counts(member: DataFrame, docs: DataFrame, doc_id: str, text: str, n: i
 def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (least id with an equal set), n_links (how many other classes its set links to),
     component_id."""
+    return labelled_sets(docs, doc_id, text, n, percent, True).select("doc_id", "n_shingles", "class_id", "n_links", "component_id")
+
+
+def labelled_sets(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, counted: bool) -> DataFrame:
+    """with_components, with sig (fingerprint of the set) and label (the same for all sets of a component); n_links only if counted."""
     spark = docs.sparkSession
     survey = saved(surveyed(docs, doc_id, text, n), "jaccard-survey")
     sets = survey.filter("gram is null")
@@ -583,27 +589,48 @@ def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         likely = left.select("a", "b", "far").join(asked, ["a", "b"], "left_anti")
     discard(groups)
     if labels is None:
-        whole = classes.select("sig", F.col("first_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("first_id").alias("component"))
+        whole = classes.select("sig", F.col("first_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("first_id").alias("component"), F.col("sig").alias("label"))
     else:
         linked = each.select("sig", "first_id", "n").join(labels.select(F.col("v").alias("sig"), "label"), "sig")
-        degree = saved(link_counts(linked, known, doc_id, text, n, percent), "jaccard-degrees")
+        degree = saved(link_counts(linked, known, doc_id, text, n, percent), "jaccard-degrees") if counted else spark.createDataFrame([], "sig long, n_links long")
         member = saved(classes.join(labels.select(F.col("v").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")), "jaccard-members")
         least = saved(member.groupBy(F.col("label").alias("l")).agg(F.min("first_id").alias("component")), "jaccard-least")
-        whole = member.join(least, member.label == least.l).join(degree, "sig", "left").select("sig", F.col("first_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component")
+        whole = member.join(least, member.label == least.l).join(degree, "sig", "left").select("sig", F.col("first_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component", "label")
     whole = saved(whole, "jaccard-whole").withColumnRenamed("sig", "_sig")
     joined = sized.join(whole, (F.col("sig") == F.col("_sig")) & (F.col("n") > 0), "left")
     own = F.col("doc_id").isNotNull()
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(own, F.coalesce("component", "doc_id")).alias("component_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(own, F.coalesce("component", "doc_id")).alias("component_id"), "sig", F.coalesce("label", "sig").alias("label"))
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component; rows without an id stay. A repeated id stays once."""
-    found = saved(with_components(docs, doc_id, text, **options), "jaccard-found")
-    gone = saved(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
-    kept = docs.join(F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their component; rows without an id stay. Rows that share an id are judged each by its
+    own set: those in one component (equal sets, or linked ones) stay once, others beside each other. Of these the row with the least text stays, of equal texts the
+    one whose row is least as JSON."""
+    found = saved(labelled_sets(docs, doc_id, text, n, percent, False), "jaccard-found")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionAll(kept.filter(F.col(doc_id).isNull()))
+        gone = saved(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "jaccard-gone")
+        return docs.join(F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    several = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    judged = found.filter("doc_id is not null").join(several, "doc_id").filter("rows > 1 or doc_id <> component_id")
+    judged = saved(judged.select(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig"), F.col("label").alias("_label"), (F.col("doc_id") != F.col("component_id")).alias("_gone"), "rows").distinct(), "jaccard-judged")
+    signed = saved(with_signatures(docs, text, n), "jaccard-signed")
+    few = judged.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    kept = signed.join(F.broadcast(judged) if few else judged, (F.col(doc_id) == F.col("_id")) & (F.col("_own") == F.col("_sig")), "left").filter("_gone is null or not _gone")
+    order = Window.partitionBy("_id", "_label").orderBy(text, F.to_json(F.struct(*(c for c in docs.columns if c != text))))
+    repeated = kept.filter("rows > 1").withColumn("_order", F.row_number().over(order)).filter("_order = 1")
+    return repeated.select(*docs.columns).unionAll(kept.filter("rows is null").select(*docs.columns))
+
+
+def with_signatures(docs: DataFrame, text: str, n: int) -> DataFrame:
+    """``docs`` with _own, the fingerprint of each row's set."""
+    schema = StructType([*docs.schema.fields, StructField("_own", LongType())])
+
+    def task(batches):
+        for b in batches:
+            own = [fingerprint(s) for s in shingle_sets(b.column(text), n, True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64())], names=[*b.schema.names, "_own"])
+
+    return docs.mapInArrow(task, schema)
 
 
 def op4_jaccard(spark, sf_dir):

@@ -300,6 +300,15 @@ def test_jaccard_counts_every_link(spark, monkeypatch, small):
     assert got == want and max(want.values()) > 10 and want[902] == 0
 
 
+def test_repeated_ids_are_removed_by_their_sets(spark):
+    rng = random.Random(3)
+    a, b, c = (text_of(rng, 60, [f"{x}{y}" for x in WORDS for y in WORDS]) for _ in range(3))
+    rows = [(3, a), (7, a + " more"), (7, b), (7, b.upper()), (8, c), (8, c + " more"), (9, None), (9, ""), (None, a), (None, a)]
+    got = [(r.doc_id, r.text) for r in jaccard.deduplicated(frame(spark, rows)).collect()]
+    want = [(3, a), (7, b.upper()), (8, c), (9, None), (None, a), (None, a)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_jaccard_random(spark):
     rng = random.Random(11)
     rows = []
