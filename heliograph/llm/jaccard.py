@@ -1,24 +1,27 @@
 """Operator 4: Jaccard join of word n-gram sets by T-occurrence search.
 
 Two sets link when 100 * |both| >= percent * |either|. Texts with equal sets are one class, found by a fingerprint of the
-set. Classes that can link share an n-gram among the first of each (n-grams in a common order, frequent ones last; the
-smaller set needs fewer of them), so grouping these by n-gram finds every candidate. A candidate's set is then searched by
-T-occurrence: inverted lists over the query's n-grams, the long ones set aside (DivideSkip), the short ones merged on a
-heap with skips, survivors probed in the long lists by bisection, and those that reach their overlap retained.
+set. Classes are brought together in families, then each family is searched for all its links.
 
-Large groups of near copies are not paired off. In each n-gram group all classes are first tried against one of them, then
-in rounds against their neighbours by size; what links becomes a component. Only then are all pairs of different components that share an n-gram considered, so
-no link that could join two components is lost, and a link inside a component changes nothing. A pair is tried if its
-common head n-grams are enough for its overlap even if all that may follow were common too (see cross_pairs), and if the
-parities of both sets leave room for it (see screened). Of such pairs the closest one of each component goes first; what
-that leaves between different components follows.
+Families: sets that can link share an n-gram among the first of each (its head; n-grams in a common order, frequent ones
+last), so heads are grouped by n-gram. A group of up to GROUP sets gives its pairs, and their common head n-grams are counted:
+of two heads, the one that ends first in the common order has every common n-gram up to its end in both, so the overlap is
+at most that count and what follows this head. Pairs that can still reach their overlap are edges. A larger group is joined to one
+of its sets instead, so two sets that share such an n-gram are in one family whatever their count. Components of all edges are the families.
 
-Links are counted at the end, when every link lies inside one component: its classes, in order of size, are dealt into
-blocks, and each two blocks whose sizes can link are searched for all their links (see link_counts). Only counts leave a task.
+Links: a family's sets are indexed by inverted lists over their n-grams, and each set is a query: the longest lists are set
+aside (DivideSkip), the short ones merged on a heap with skips, what they leave is probed in the long lists by bisection, and
+sets that reach their overlap are retained. A large family is cut by size (sets more than one band apart can't link) and by hash into
+slots of bounded size, and each two slots that can link are searched in a task of their own. No pairs leave a task: for each
+set it returns how many links it has there and the least set that these links connect it to.
+
+Sizes: tasks hold one n-gram's group up to GROUP rows, or two slots (SLOT_GRAMS each, or one longer text). An n-gram that many
+sets share but that no task has named (see shingles) makes one family of them; such a family costs what its slots do, with the square of its size.
 
 Defined results: a text with fewer than n words has one n-gram, the whole; without words, or null, it has none and links
 with nothing; a null id takes no part and has a null component; repeated rows are in one class and all reported; rows that share
-an id but not a text are told apart by their sets; an empty table gives an empty result. Fingerprints are 64-bit.
+an id but not a text are told apart by their sets; very long texts are read whole; which of several equal texts stands for a class
+changes nothing; other columns are not read, so their names can't clash; an empty table gives an empty result. Fingerprints are 64-bit.
 """
 
 from __future__ import annotations
@@ -39,17 +42,17 @@ from .components import components
 from .shingles import Counter, most_frequent, shingle_sets, weights
 
 N, PERCENT = 5, 75
-STAR_ROUNDS, NEAREST_ROUNDS = 4, 1
 #: An n-gram is named to the common order if a task sees it this often among LOCAL_GRAMS.
 NAMED = 3
-#: Candidates of one query that are searched at once, and rows of candidates to a broadcast.
-CHUNK = 256
-#: Classes of a group of which all pairs are counted.
-GROUP = 64
-BROADCAST_ROWS = 400_000
-#: Links are counted between blocks of so many n-grams, where each class counts for ROW_GRAMS more.
-BLOCK_GRAMS, ROW_GRAMS = 512_000, 250
-_PAIR = "a long, b long"
+#: Sets of a group of which all pairs are counted.
+GROUP = 128
+#: Rows of the grouped heads that are looked at together.
+ROWS = 200_000
+#: Fixed-width rows (some 100 bytes each in memory) to a broadcast.
+BROADCAST_ROWS = 200_000
+#: A slot of a family holds about so many n-grams, where each set counts for ROW_GRAMS more; smaller families are searched whole.
+SLOT_GRAMS, ROW_GRAMS = 100_000, 250
+_SLOTS = 1 << 32  # more than a band has
 
 
 def ceil_div(a, b):
@@ -103,46 +106,92 @@ def merged(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
     return out
 
 
-def t_occurrence(query: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, mu: float = 0.01) -> list[int]:
-    """Indexes of the sets that link to the query. All are in order of hash."""
-    n = len(query)
-    need = [pair_overlap(n, len(s), percent) if 100 * min(n, len(s)) >= percent * max(n, len(s)) else 0 for s in sets]
-    alive = [i for i, t in enumerate(need) if t > 0]
-    if not alive or not n:
-        return []
-    least = min(need[i] for i in alive)
-    gram, owner = np.concatenate([sets[i] for i in alive]), np.repeat(alive, [len(sets[i]) for i in alive])
-    at = np.minimum(np.searchsorted(query, gram), n - 1)
-    own = query[at] == gram
-    at, owner = at[own], owner[own]
-    order = np.lexsort((owner, at))
-    at, owner = at[order], owner[order]
-    cuts = np.flatnonzero(np.diff(at)) + 1
-    lists = sorted((x.tolist() for x in np.split(owner, cuts)), key=len, reverse=True) if len(owner) else []
-    if len(lists) < least:
-        return []
-    longest = len(lists[0])
-    long = min(least - 1, int(least / (mu * log2(longest) + 1))) if longest > 1 else 0
-    found = []
-    for i, count in merged(lists[long:], least - long):
-        for k, x in enumerate(lists[:long]):
-            if count + long - k < need[i] or count >= need[i]:
+class Lists:
+    """Inverted lists of some sets, each in order of hash: the sets that hold an n-gram, by index."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.k, self.sizes = len(sets), np.array([len(s) for s in sets])
+        gram, owner = np.concatenate(sets), np.repeat(np.arange(self.k), self.sizes)
+        order = np.argsort(gram, kind="stable")
+        gram, self.owner = gram[order], owner[order]
+        new = np.append(True, gram[1:] != gram[:-1])
+        self.start = np.append(np.flatnonzero(new), len(gram))
+        self.gram = gram[self.start[:-1]]
+        self.place = (np.cumsum(new) - 1) * self.k + self.owner  # (list, set) as one number, in order
+
+    def search(self, query: np.ndarray, percent: int = PERCENT, mu: float = 0.01) -> np.ndarray:
+        """Indexes of the sets that link to the query."""
+        none, n = np.empty(0, np.int64), len(query)
+        fits = 100 * np.minimum(n, self.sizes) >= percent * np.maximum(n, self.sizes)
+        if not n or not fits.any():
+            return none
+        need = pair_overlap(n, self.sizes, percent)
+        least = int(need[fits].min())
+        at = np.minimum(np.searchsorted(self.gram, query), len(self.gram) - 1)
+        at = at[self.gram[at] == query]
+        if len(at) < least:
+            return none
+        length = self.start[at + 1] - self.start[at]
+        at = at[np.argsort(-length, kind="stable")]
+        long = min(least - 1, int(least / (mu * log2(int(length.max())) + 1)))
+        ends = zip(self.start[at[long:]].tolist(), self.start[at[long:] + 1].tolist(), strict=True)
+        found = merged([self.owner[lo:hi].tolist() for lo, hi in ends], least - long)
+        if not found:
+            return none
+        ids, count = np.array(found).T
+        stays = fits[ids] & (count + long >= need[ids])
+        ids, count = ids[stays], count[stays]
+        for lo in range(0, long, 64):  # after each few lists, what can't get there any more goes
+            if not len(ids):
                 break
-            j = bisect_left(x, i)
-            count += j < len(x) and x[j] == i
-        if count >= need[i]:
-            found.append(i)
-    return found
+            some = at[lo : min(lo + 64, long)]
+            asked = some[:, None] * self.k + ids
+            where = np.minimum(np.searchsorted(self.place, asked), len(self.place) - 1)
+            count = count + (self.place[where] == asked).sum(axis=0)
+            stays = count + long - lo - len(some) >= need[ids]
+            ids, count = ids[stays], count[stays]
+        return ids
+
+
+def t_occurrence(query: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
+    """Indexes of the sets that link to the query. All are in order of hash."""
+    sets = [s if len(s) else np.zeros(0, np.uint64) for s in sets]
+    return Lists(sets).search(query, percent).tolist() if any(len(s) for s in sets) else []
+
+
+def linked(first: dict[int, np.ndarray], second: dict[int, np.ndarray] | None, percent: int) -> list[tuple[int, int, int]]:
+    """(name, least name that links lead to, links) of the sets that have links between the two sides, or within the first alone."""
+    names = [*first, *(second or ())]
+    lists, shift = Lists(list((first if second is None else second).values())), 0 if second is None else len(first)
+    up, links = list(range(len(names))), [0] * len(names)
+
+    def top(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
 
+    for q, s in enumerate(first.values()):
+        hits = (lists.search(s, percent) + shift).tolist()
+        for x in hits:
+            if x != q:
+                links[q] += 1
+                if second is not None:
+                    links[x] += 1
+                a, b = top(q), top(x)
+                if a != b:
+                    a, b = (a, b) if names[a] < names[b] else (b, a)
+                    up[b] = a
+    return [(name, names[top(x)], links[x]) for x, name in enumerate(names) if links[x]]
 
-# Candidates.
 
+# Families.
 
-_SURVEY = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("bits", pa.binary()), ("gram", pa.int64())])
+
+_SURVEY = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("gram", pa.int64())])
 
 
 def surveyed(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """One reading of all texts: doc_id, n, sig, bits (size, fingerprint and bitmap of each set) where gram is null, else a frequent gram and its count n."""
+    """One reading of all texts: doc_id, n, sig (size and fingerprint of each set) where gram is null, else a frequent gram and its count n."""
 
     def task(batches):
         counter = Counter(NAMED)
@@ -150,24 +199,23 @@ def surveyed(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
         def named():
             gram, count = counter.counted()
             none = pa.nulls(len(gram), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(count), none, pa.nulls(len(gram), pa.binary()), pa.array(gram)], schema=_SURVEY)
+            return pa.RecordBatch.from_arrays([none, pa.array(count), none, pa.array(gram)], schema=_SURVEY)
 
         for b in batches:
-            sizes, sigs, bits = [], [], []
+            sizes, sigs = [], []
             for s in shingle_sets(b.column("text"), n, True):
                 sizes.append(len(s))
                 sigs.append(fingerprint(s))
-                bits.append(bitmap(s).tobytes())
                 if counter.add(s):
                     yield named()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(sizes), pa.int64())], schema=_SURVEY)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(len(sizes), pa.int64())], schema=_SURVEY)
         yield named()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(task, "doc_id long, n long, sig long, bits binary, gram long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(task, "doc_id long, n long, sig long, gram long")
 
 
 def heads(docs: DataFrame, text: str, n: int, percent: int, listed) -> DataFrame:
-    """gram, sig, n, pos: the first n-grams of each set, in the common order. Equal sets within a task are given once."""
+    """gram, sig, n: the first n-grams of each set, in the common order. Equal sets within a task are given once."""
     sent = docs.sparkSession.sparkContext.broadcast(listed)  # bounded by the list's length
 
     def task(batches):
@@ -182,7 +230,7 @@ def heads(docs: DataFrame, text: str, n: int, percent: int, listed) -> DataFrame
                 seen.add(sig)
                 k = len(s) - least_overlap(len(s), percent) + 1
                 w = weights(s, known)
-                out.append((s[:k] if not w.any() else s[np.argsort(w, kind="stable")[:k]], sig, len(s), k))
+                out.append((s[:k] if not w.any() else s[np.argsort(w, kind="stable")[:k]], sig, len(s)))
                 size += k
                 if size > 500_000:
                     yield rows(out)
@@ -191,431 +239,197 @@ def heads(docs: DataFrame, text: str, n: int, percent: int, listed) -> DataFrame
                 yield rows(out)
 
     def rows(out):
-        k = np.array([x[3] for x in out])
-        pos = np.arange(k.sum(), dtype=np.int32) - np.repeat(np.cumsum(k) - k, k).astype(np.int32)
-        columns = np.concatenate([x[0] for x in out]).view(np.int64), np.repeat(np.array([x[1] for x in out], np.int64), k), np.repeat(np.array([x[2] for x in out], np.int32), k), pos
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["gram", "sig", "n", "pos"])
-
-    return docs.select(text).mapInArrow(task, "gram long, sig long, n int, pos int")
-
-
-def shared_heads(rows: DataFrame) -> DataFrame:
-    """Of these rows those whose n-gram more than one set has; repeated (gram, sig) once."""
-    return rows.repartition("gram").sortWithinPartitions("gram", "n", "sig").mapInArrow(_shared_task, rows.schema)
+        k = [len(x[0]) for x in out]
+        columns = np.concatenate([x[0] for x in out]).view(np.int64), np.repeat(np.array([x[1] for x in out], np.int64), k), np.repeat(np.array([x[2] for x in out], np.int32), k)
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["gram", "sig", "n"])
 
+    return docs.select(text).mapInArrow(task, "gram long, sig long, n int")
 
-def _shared_task(batches):
-    """Streams rows in order of gram, n, sig. The last row of a batch waits for the next, unless its gram is known to be shared."""
-    held, known = None, None  # a row that waits; a gram whose rows all go out
-    last = None  # (gram, sig) of the last row
-    for b in batches:
-        if not b.num_rows:
-            continue
-        gram, sig = b.column("gram").to_numpy(), b.column("sig").to_numpy()
-        new = np.ones(len(gram), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (sig[1:] != sig[:-1])
-        new[0] = (int(gram[0]), int(sig[0])) != last
-        last = int(gram[-1]), int(sig[-1])
-        rows = np.flatnonzero(new)
-        if not len(rows):
-            continue
-        g = gram[rows]
-        out = np.zeros(len(g), bool)
-        out[1:] |= g[1:] == g[:-1]
-        out[:-1] |= g[1:] == g[:-1]
-        if known is not None:
-            out |= g == known
-        if held is not None:
-            if int(held.column("gram")[0].as_py()) == int(g[0]):
-                yield held
-                out |= g == g[0]
-            held = None
-        known = int(g[-1]) if out[-1] else None
-        if not out[-1]:
-            held = b.slice(int(rows[-1]), 1)
-        if out.any():
-            yield b.take(pa.array(rows[out]))
-
-
-def _grouped(batches, columns):
-    """Rows in order of gram, as whole groups: (columns of many rows, starts of the groups in them)."""
-    held = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        now = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        cuts = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
-        if not len(cuts):
-            held = now
-            continue
-        whole, held = [c[: cuts[-1]] for c in now], [c[cuts[-1] :] for c in now]
-        yield whole, np.concatenate([[0], cuts[:-1]])
-    if held is not None:
-        yield held, np.array([0])
 
-
-def _index_size(n, percent):
-    """How many of its first n-grams the smaller set of a pair needs: n - 2p / (100 + p) * n + 1."""
-    return n - ceil_div(2 * percent * n, 100 + percent) + 1
-
-
-def star_pairs(groups: DataFrame, percent: int, tried: DataFrame, chain: bool) -> DataFrame:
-    """(a, b): each class with the smallest of its group (chain: with the next smaller of another component), where they can link,
-    aren't in one component yet and haven't been tried, if they share many n-grams (chain: all of these, a head has room for about fourteen; else
-    the one that the class shares most with). What is left out here is left to cross_pairs."""
+def meetings(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb), a < b: the pairs of sets whose sizes can link, once for each small group that they share; for larger groups each
+    set with one of the group, without sizes. Groups come in order and are streamed; of a large one a single row is held."""
+    size, many = GROUP, ROWS
 
     def task(batches):
-        for (gram, sig, n, pos, comp), starts in _grouped(batches, ["gram", "sig", "n", "pos", "comp"]):
-            first = np.repeat(starts, np.diff(np.append(starts, len(gram))))
-            if chain:  # the row before this one's run of rows of one component, if that is in the group
-                run = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (comp[1:] != comp[:-1])))
-                first = np.maximum(first, np.repeat(run, np.diff(np.append(run, len(gram)))) - 1)
-            fits = (100 * n[first].astype(np.int64) >= percent * n.astype(np.int64)) & (comp != comp[first])
-            yield pa.RecordBatch.from_arrays([pa.array(x[fits]) for x in (sig, sig[first], n, n[first])], names=["a", "b", "na", "nb"])
-
-    pairs = groups.repartition("gram").sortWithinPartitions("gram", "n", "sig").mapInArrow(task, "a long, b long, na int, nb int")
-    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    likely = counted.filter((6 if chain else 2) * F.col("c") + F.greatest(_after("na", percent), _after("nb", percent)) >= _overlap("na", "nb", percent))
-    new = likely.join(tried, ["a", "b"], "left_anti")
-    return new.select("a", "b") if chain else new.groupBy("a").agg(F.max_by("b", "c").alias("b"))
-
-
-def _overlap(na, nb, percent):
-    return F.ceil((percent * (F.col(na) + F.col(nb))) / F.lit(100 + percent))
-
-
-def _after(n, percent):
-    """N-grams of a set behind its head."""
-    return F.ceil(percent * F.col(n) / F.lit(100)) - 1
-
-
-def cross_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a the larger: pairs of different components that can still reach their overlap.
-
-    In groups of up to GROUP classes all pairs are counted. Of two heads, the one that ends first in the common order
-    has every common n-gram up to its end in both heads, so the overlap is at most the common head n-grams and what
-    follows that head. In larger groups a pair is given if the n-gram can be the first that it shares: its place leaves
-    room for the overlap behind it, and it is among the first of the smaller set. Pairs whose first common n-gram has
-    such a group are found there; for others, the n-grams that either has in such groups are added to the bound.
-    """
-
-    def task(batches):
-        def rows(out):
-            a, b, na, nb, big = (np.concatenate(x) for x in zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=big == 2), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32)), pa.array(big.astype(np.int32))], names=["a", "b", "na", "nb", "big"])
-
-        for (gram, sig, n, pos, comp), starts in _grouped(batches, ["gram", "sig", "n", "pos", "comp"]):
-            ends = np.append(starts[1:], len(gram))
-            size = np.repeat(ends - starts, ends - starts)
-            n, small = n.astype(np.int64), size <= GROUP
-            for d in range(1, GROUP):  # pairs of rows that stand d apart in a small group
-                near = np.flatnonzero(small[d:] & (gram[d:] == gram[:-d]))
+        def given(a, b, na, nb):
+            turn = a > b
+            pair = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)
+            return pa.RecordBatch.from_arrays([*map(pa.array, pair)], names=["a", "b", "na", "nb"])
+
+        def pairs(gram, sig, n):
+            for d in range(1, size):  # rows that stand d apart
+                near = np.flatnonzero(gram[d:] == gram[:-d])
                 if not len(near):
-                    break
-                near = near[(comp[near + d] != comp[near]) & (100 * n[near] >= percent * n[near + d])]
+                    return
+                x, y = n[near].astype(np.int64), n[near + d].astype(np.int64)
+                near = near[100 * np.minimum(x, y) >= percent * np.maximum(x, y)]
                 if len(near):
-                    none = np.zeros(len(near), np.int64)
-                    yield rows([(sig[near + d], sig[near], n[near + d], n[near], none)])
-            for k in np.flatnonzero(ends - starts > GROUP):
-                lo, hi = int(starts[k]), int(ends[k])
-                m, p, c, who = n[lo:hi], pos[lo:hi].astype(np.int64), comp[lo:hi], sig[lo:hi]
-                none = np.zeros(hi - lo, np.int64)
-                yield rows([(who, none, none, none, none + 2)])  # how often a class is in a large group
-                out, held = [], 0
-                for i in np.flatnonzero(p < _index_size(m, percent)) if c.min() != c.max() else ():
-                    j = np.arange(i + 1, int(np.searchsorted(m, 100 * m[i] // percent, "right")))  # larger sets that are not too large
-                    j = j[c[j] != c[i]]
-                    j = j[1 + np.minimum(m[i] - p[i] - 1, m[j] - p[j] - 1) >= pair_overlap(m[i], m[j], percent)]
-                    if len(j):
-                        out.append((who[j], np.full(len(j), who[i]), m[j], np.full(len(j), m[i]), np.ones(len(j), np.int64)))
-                        held += len(j)
-                        if held > 100_000 or len(out) > 10_000:
-                            yield rows(out)
-                            out, held = [], 0
-                if out:
-                    yield rows(out)
-
-    found = groups.repartition("gram").sortWithinPartitions("gram", "n", "sig").mapInArrow(task, "a long, b long, na int, nb int, big int")
-    counted = saved(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("big").alias("big"), F.max("na").alias("na"), F.max("nb").alias("nb")), "jaccard-counted")
-    often = saved(counted.filter("big = 2").select(F.col("a").alias("s"), F.col("c").alias("often")), "jaccard-often")
-    pairs = counted.filter("big < 2")
-    for side in "ab":
-        pairs = pairs.join(often.select(F.col("s").alias(side), F.col("often").alias(f"often_{side}")), side, "left").fillna(0, [f"often_{side}"])
-    bound = F.col("c") + F.least("often_a", "often_b") + F.greatest(_after("na", percent), _after("nb", percent))
-    return pairs.filter((F.col("big") == 1) | (bound >= _overlap("na", "nb", percent))).select("a", "b")
-
-
-# Verification.
-
-
-def gathered(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """b, share, sig, text: for each b its own text and those of its a's, CHUNK of them to a share.
-
-    A b with many a's has several shares, each with b's text beside its a's, so no key is hot. Texts are fetched by the
-    id of a class's representative.
-    """
-    shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("int").alias("shares"))
-    asked = pairs.join(shares, "b").select("b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.col("a").alias("sig"))
-    query = shares.select("b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("b").alias("sig"))
-    needed = saved(asked.unionAll(query).join(classes, "sig"), "jaccard-needed")
-    rows = docs.select(F.col(doc_id).cast("long").alias("first_id"), F.col(text).alias("text"))
-    few = needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(needed) if few else needed, "first_id").select("b", "share", "sig", "text")
-
-
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """For each place that a hash can name the parity of a set's elements there; 1 to 2 places to an element, a power of two, 64 at least."""
-    size = max(64, 1 << len(s).bit_length())
-    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
-
-
-def apart(x: np.ndarray, y: np.ndarray) -> int:
-    """At least so many elements are in one of two sets only: each changes one parity, so those that differ, after the longer bitmap is folded."""
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def screened(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """(a, b, far): those whose bitmaps leave room for a link: 100 * both >= percent * either means that at most
-    (100 - percent) / (100 + percent) of the two sizes together is apart. far is the share that is, as far as bitmaps tell.
-    No link is lost, and no text is moved."""
-
-    def task(batches):
-        for batch in batches:
-            a, b, na, nb, bits_a, bits_b = (batch.column(k) for k in range(6))
-            both = na.to_numpy() + nb.to_numpy()
-            differ = np.array([apart(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(bits_a, bits_b, strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(differ / both)], names=["a", "b", "far"]).filter(pa.array((100 + percent) * differ <= (100 - percent) * both))
-
-    for side in "ab":
-        pairs = pairs.join(maps.select(F.col("sig").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits_{side}")), side)
-    return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(task, f"{_PAIR}, far double")
-
-
-def divided(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The (a, b, far) between different components, with these as ca and cb."""
-    if labels is None:
-        return pairs.select("a", "b", "far", F.col("a").alias("ca"), F.col("b").alias("cb"))
-    for side in "ab":
-        pairs = pairs.join(labels.select(F.col("v").alias(side), F.col("label").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-    return pairs.filter("ca <> cb").select("a", "b", "far", "ca", "cb")
+                    yield given(sig[near], sig[near + d], n[near], n[near + d])
+
+        def looked_at(held, hot, last):
+            """Gives what whole groups have; returns the rows that wait, and their n-gram if its group is known to be large."""
+            gram, sig, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            new = np.append(True, (gram[1:] != gram[:-1]) | (sig[1:] != sig[:-1]))
+            gram, sig, n = gram[new], sig[new], n[new]
+            start = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+            count = np.diff(np.append(start, len(gram)))
+            large = (count > size) | (gram[start] == hot if hot is not None else False)
+            if large.any():
+                of = np.repeat(large, count)
+                first = np.repeat(start, count)
+                far = np.flatnonzero(of & (first != np.arange(len(gram))))
+                if len(far):
+                    none = np.zeros(len(far), np.int32)
+                    yield given(sig[far], sig[first[far]], none, none)
+            whole = (count > 1) & ~large
+            waits = None
+            if not last:
+                whole[-1] = False
+                lo = int(start[-1])
+                hi = lo + 1 if large[-1] else len(gram)
+                waits = (gram[lo:hi], sig[lo:hi], n[lo:hi]), int(gram[-1]) if large[-1] else None
+            own = np.repeat(whole, count)
+            yield from pairs(gram[own], sig[own], n[own])
+            return waits
+
+        held, hot, rows = [], None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(tuple(b.column(c).to_numpy() for c in ("gram", "sig", "n")))
+            rows += b.num_rows
+            if rows >= many:
+                kept, hot = yield from looked_at(held, hot, False)
+                held, rows = [kept], len(kept[0])
+        if held:
+            yield from looked_at(held, hot, True)
 
+    return rows.repartition("gram").sortWithinPartitions("gram", "sig").mapInArrow(task, "a long, b long, na int, nb int")
 
-def nearest(pairs: DataFrame) -> DataFrame:
-    """(a, b): for each component the closest of its pairs, so at most as many as there are components."""
-    ends = pairs.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("far", "a", "b").alias("pair"))
-    return ends.groupBy("c").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct()
 
+def related(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges between sets that can link, or that are in one large group; every link lies inside a component of these."""
+    overlap = F.ceil((percent * (F.col("na") + F.col("nb"))) / F.lit(100 + percent))
+    after = lambda n: F.ceil(percent * F.col(n) / F.lit(100)) - 1  # noqa: E731  n-grams of a set behind its head
+    counted = meetings(rows, percent).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("na").alias("na"), F.min("nb").alias("nb"))
+    return counted.filter((F.col("na") == 0) | (F.col("c") + F.greatest(after("na"), after("nb")) >= overlap)).select("a", "b")
 
-def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
-    """Those of the (a, b) that link: b is the query, its a's are the candidates of T-occurrence searches. A text of another set
-    than its class's is passed over."""
 
-    def task(batches):
-        at, query, sets = None, None, {}
+# Links.
 
-        def search():
-            if query is None or not sets:
-                return
-            named = list(sets)
-            hits = [named[i] for i in t_occurrence(query, [sets[x] for x in named], percent)]
-            if hits:
-                yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int64()), pa.array([at[0]] * len(hits), pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            own = batch.column("b").to_pylist(), batch.column("share").to_pylist(), batch.column("sig").to_pylist(), shingle_sets(batch.column("text"), n, True)
-            for b, share, sig, s in zip(*own, strict=True):
-                if (b, share) != at:
-                    yield from search()
-                    at, query, sets = (b, share), None, {}
-                if fingerprint(s) != sig:
-                    continue
-                if sig == b:
-                    query = s
-                else:
-                    sets[sig] = s
-        yield from search()
-
-    return gathered(pairs, classes, docs, doc_id, text).repartition("b", "share").sortWithinPartitions("b", "share").mapInArrow(task, _PAIR)
 
+def bands(percent: int) -> list[int]:
+    """Least sizes of bands: a set can link to sets of its own band and of the two beside it alone."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] * 100 // percent + 1)
+    return out
 
-class Lists:
-    """Inverted lists of a block of sets. For an n-gram that most sets have, the list names those without it: near copies have short lists."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.k = k = len(sets)
-        gram, owner = np.concatenate(sets), np.repeat(np.arange(k), [len(s) for s in sets])
-        order = np.argsort(gram, kind="stable")
-        gram, owner = gram[order], owner[order]
-        starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-        many = np.diff(np.append(starts, len(gram)))
-        self.grams, self.dense = gram[starts], 2 * many > k
-        of_dense = np.repeat(self.dense, many)
-        without = np.ones((int(self.dense.sum()), k), bool)  # 2 cells at most for each n-gram of the block
-        without[np.repeat(np.cumsum(self.dense) - 1, many)[of_dense], owner[of_dense]] = False
-        self.lists = np.concatenate([owner[~of_dense], np.nonzero(without)[1]])
-        self.length = np.where(self.dense, k - many, many)
-        self.start = np.empty(len(many), np.int64)
-        at = 0
-        for kind in (~self.dense, self.dense):
-            self.start[kind] = at + np.cumsum(self.length[kind]) - self.length[kind]
-            at += int(self.length[kind].sum())
-
-    def _named(self, at):
-        length = self.length[at]
-        flat = np.arange(length.sum()) + np.repeat(self.start[at] - np.cumsum(length) + length, length)
-        return np.bincount(self.lists[flat], minlength=self.k)
-
-    def common(self, query: np.ndarray) -> np.ndarray:
-        """For each set of the block how many n-grams of the query it has."""
-        at = np.minimum(np.searchsorted(self.grams, query), len(self.grams) - 1)
-        at = at[self.grams[at] == query]
-        dense = self.dense[at]
-        return int(dense.sum()) + self._named(at[~dense]) - self._named(at[dense])
-
-
-def block_links(first: list[np.ndarray], second: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray | None]:
-    """How many links each set of ``first`` has to ``second`` and the reverse; without ``second``, to the others of ``first``."""
-    other = first if second is None else second
-    lists, sizes = Lists(other), np.array([len(s) for s in other])
-    own, back = np.zeros(len(first), np.int64), np.zeros(len(other), np.int64)
-    for q, s in enumerate(first):
-        hit = (100 + percent) * lists.common(s) >= percent * (len(s) + sizes)
-        if second is None:
-            hit[q] = False
-        own[q] = hit.sum()
-        back += hit
-    return own, None if second is None else back
-
-
-def link_counts(member: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
-    """sig, n_links of the classes that have links, from member (sig, first_id, n, label). A link's ends are in one component, so each two blocks of
-    a component are searched, unless all sets of one are too small for the other. A class's text moves once for each block of its component that it can link to."""
-    order = Window.partitionBy("label").orderBy("n", "sig").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("n") + ROW_GRAMS).over(order), F.lit(0))
-    placed = saved(member.withColumn("block", F.floor(before / F.lit(BLOCK_GRAMS)).cast("int")), "jaccard-placed")
-    blocks = saved(placed.groupBy("label", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "jaccard-blocks")
-    larger = blocks.select(F.col("label").alias("l"), F.col("block").alias("j"), F.col("lo").alias("lo_j"))
-    jobs = blocks.withColumnRenamed("block", "i").join(larger, F.col("label") == F.col("l")).filter((F.col("i") <= F.col("j")) & (100 * F.col("hi") >= percent * F.col("lo_j")))
-    sides = jobs.select("label", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    needed = saved(sides.join(placed, ["label", "block"]).select("label", "i", "j", "block", "sig", "first_id"), "jaccard-counting")
+def placed(member: DataFrame, percent: int) -> DataFrame:
+    """family, i, j, slot, sig, first_id from member (family, sig, first_id, n): each set once for every two slots (i, j) that it is searched in."""
+    member = member.withColumn("weight", (F.col("n") + ROW_GRAMS).cast("long"))
+    large = saved(member.groupBy("family").agg(F.sum("weight").alias("total")).filter(F.col("total") > SLOT_GRAMS).select("family"), "jaccard-large")
+    columns = "family", "i", "j", "slot", "sig", "first_id"
+    zero = F.lit(0).cast("long")
+    small = member.join(large, "family", "left_anti").select("family", zero.alias("i"), zero.alias("j"), zero.alias("slot"), "sig", "first_id")
+    if large.isEmpty():
+        return small
+    band = F.size(F.filter(F.array(*map(F.lit, bands(percent))), lambda b: b <= F.col("n"))).cast("long")
+    own = saved(member.join(large, "family").withColumn("band", band), "jaccard-banded")
+    parts = saved(own.groupBy("family", "band").agg(F.ceil(F.sum("weight") / F.lit(SLOT_GRAMS)).cast("long").alias("parts")), "jaccard-parts")
+    for name, by in (("before", 1), ("behind", -1)):
+        beside = parts.select("family", (F.col("band") + by).alias("band"), F.col("parts").alias(name))
+        own = own.join(beside, ["family", "band"], "left")
+    own = own.join(parts, ["family", "band"]).withColumn("slot", F.col("band") * _SLOTS + F.pmod(F.xxhash64("sig"), F.col("parts")))
+
+    def slots(count, band):
+        every = F.transform(F.sequence(zero, F.greatest(F.coalesce(count, F.lit(1)) - 1, zero)), lambda q: band * _SLOTS + q)
+        return F.when(count.isNotNull(), every).otherwise(F.array().cast("array<long>"))
+
+    others = F.concat(slots(F.col("parts"), F.col("band")), slots(F.col("before"), F.col("band") - 1), slots(F.col("behind"), F.col("band") + 1))
+    dealt = own.select("family", "slot", "sig", "first_id", F.explode(others).alias("o"))
+    return small.unionByName(dealt.withColumn("i", F.least("slot", "o")).withColumn("j", F.greatest("slot", "o")).select(*columns))
+
+
+def few(rows: DataFrame) -> bool:
+    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def found_links(member: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
+    """sig, least, n_links of the sets that have links, once for each two slots: how many there, and the least set that they lead to. A
+    text whose set is not that of its class (another row of the same id) is passed over."""
+    needed = saved(placed(member, percent), "jaccard-needed")
     rows = docs.select(F.col(doc_id).cast("long").alias("first_id"), F.col(text).alias("text"))
-    few = needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = rows.join(F.broadcast(needed) if few else needed, "first_id").select("label", "i", "j", "block", "sig", "text")
+    texts = rows.join(F.broadcast(needed) if few(needed) else needed, "first_id").select("family", "i", "j", "slot", "sig", "text")
 
     def task(batches):
         at, sides = None, {}
 
-        def count():
-            if at is None:
-                return
-            first, second = sides.get(at[1], {}), sides.get(at[2], {}) if at[1] != at[2] else None
-            if not first or second is not None and not second:
+        def searched():
+            if at is None or not all(sides.get(k) for k in at[1:]):
                 return
-            for side, links in zip((first, second), block_links(list(first.values()), second and list(second.values()), percent), strict=True):
-                if side and links.any():
-                    got = np.flatnonzero(links)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(list(side), np.int64)[got]), pa.array(links[got])], names=["sig", "n_links"])
+            got = linked(sides[at[1]], None if at[1] == at[2] else sides[at[2]], percent)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*got, strict=True)], names=["sig", "least", "n_links"])
 
         for b in batches:
-            own = (b.column(c).to_pylist() for c in ("label", "i", "j", "block", "sig"))
-            for label, i, j, block, sig, s in zip(*own, shingle_sets(b.column("text"), n, True), strict=True):
-                if (label, i, j) != at:
-                    yield from count()
-                    at, sides = (label, i, j), {}
+            own = (b.column(c).to_pylist() for c in ("family", "i", "j", "slot", "sig"))
+            for family, i, j, slot, sig, s in zip(*own, shingle_sets(b.column("text"), n, True), strict=True):
+                if (family, i, j) != at:
+                    yield from searched()
+                    at, sides = (family, i, j), {}
                 if fingerprint(s) == sig:
-                    sides.setdefault(block, {})[sig] = s
-        yield from count()
+                    sides.setdefault(slot, {})[sig] = s
+        yield from searched()
 
-    found = texts.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(task, "sig long, n_links long")
-    return found.groupBy("sig").agg(F.sum("n_links").alias("n_links"))
+    return texts.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(task, "sig long, least long, n_links long")
 
 
 def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (least id with an equal set), n_links (how many other classes its set links to),
     component_id."""
-    return labelled_sets(docs, doc_id, text, n, percent, True).select("doc_id", "n_shingles", "class_id", "n_links", "component_id")
+    return labelled_sets(docs, doc_id, text, n, percent).select("doc_id", "n_shingles", "class_id", "n_links", "component_id")
 
 
-def labelled_sets(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, counted: bool) -> DataFrame:
-    """with_components, with sig (fingerprint of the set) and label (the same for all sets of a component); n_links only if counted."""
-    spark = docs.sparkSession
+def labelled_sets(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
+    """with_components, with sig (fingerprint of the set) and label (the same for all sets of a component)."""
     survey = saved(surveyed(docs, doc_id, text, n), "jaccard-survey")
-    sets = survey.filter("gram is null")
-    sized = sets.select("doc_id", "n", "sig")
+    sized = survey.filter("gram is null").select("doc_id", "n", "sig")
     listed = most_frequent(survey.filter("gram is not null").select("gram", "n"))
     known = docs.filter(F.col(doc_id).isNotNull())
-    each = saved(sets.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("bits").alias("bits")), "jaccard-classes")
-    classes, maps = each.select("sig", "first_id"), each.select("sig", "n", "bits")
-    groups = saved(shared_heads(heads(known, text, n, percent, listed)), "jaccard-heads")
-    edges = tried = spark.createDataFrame([], _PAIR)
-    labels = None
-
-    def labelled():
-        if labels is None:
-            return groups.withColumn("comp", F.col("sig"))
-        own = labels.select(F.col("v").alias("sig"), "label")
-        if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            own = F.broadcast(own)
-        return groups.join(own, "sig", "left").select("gram", "sig", "n", "pos", F.coalesce("label", "sig").alias("comp"))
-
-    def tried_links(asked):
-        nonlocal edges, labels
-        found = saved(links(asked, classes, known, doc_id, text, n, percent), "jaccard-links")
-        if not found.isEmpty():
-            edges = edges.unionAll(found)
-            labels = components(edges)
-
-    for k in range(STAR_ROUNDS):
-        pairs = saved(star_pairs(labelled(), percent, tried, chain=k > 0), "jaccard-pairs")
-        tried = tried.unionAll(pairs)
-        likely = saved(screened(pairs, maps, percent).select("a", "b"), "jaccard-screened")
-        if not likely.isEmpty():
-            tried_links(likely)
-    pairs = saved(cross_pairs(labelled(), percent).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-    likely = saved(screened(pairs, maps, percent), "jaccard-screened")
-    for k in range(NEAREST_ROUNDS + 1):
-        left = saved(divided(likely, labels), "jaccard-left")
-        if left.isEmpty():
-            break
-        asked = saved(nearest(left), "jaccard-nearest") if k < NEAREST_ROUNDS else left.select("a", "b")
-        tried_links(asked)
-        likely = left.select("a", "b", "far").join(asked, ["a", "b"], "left_anti")
-    discard(groups)
-    if labels is None:
-        whole = classes.select("sig", F.col("first_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("first_id").alias("component"), F.col("sig").alias("label"))
-    else:
-        linked = each.select("sig", "first_id", "n").join(labels.select(F.col("v").alias("sig"), "label"), "sig")
-        degree = saved(link_counts(linked, known, doc_id, text, n, percent), "jaccard-degrees") if counted else spark.createDataFrame([], "sig long, n_links long")
-        member = saved(classes.join(labels.select(F.col("v").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")), "jaccard-members")
-        least = saved(member.groupBy(F.col("label").alias("l")).agg(F.min("first_id").alias("component")), "jaccard-least")
-        whole = member.join(least, member.label == least.l).join(degree, "sig", "left").select("sig", F.col("first_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component", "label")
-    whole = saved(whole, "jaccard-whole").withColumnRenamed("sig", "_sig")
+    classes = saved(sized.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n")), "jaccard-classes")
+    families = components(related(heads(known, text, n, percent, listed), percent))
+    member = saved(classes.join(families.select(F.col("v").alias("sig"), F.col("label").alias("family")), "sig"), "jaccard-member")
+    found = saved(found_links(member, known, doc_id, text, n, percent), "jaccard-links")
+    degree = found.groupBy(F.col("sig").alias("s")).agg(F.sum("n_links").alias("n_links"))
+    labels = components(found.select(F.col("sig").alias("a"), F.col("least").alias("b"))).withColumnRenamed("v", "sig")
+    inside = saved(member.select("sig", "first_id").join(labels, "sig").join(degree, F.col("sig") == F.col("s")).select("sig", "first_id", "label", "n_links"), "jaccard-inside")
+    least = inside.groupBy(F.col("label").alias("l")).agg(F.min("first_id").alias("component"))
+    inside = inside.join(least, inside.label == least.l).select(F.col("sig").alias("s"), "label", "n_links", "component")
+    whole = saved(classes.join(inside, F.col("sig") == F.col("s"), "left").select(F.col("sig").alias("_sig"), F.col("first_id").alias("class_id"), "label", "n_links", "component"), "jaccard-whole")
     joined = sized.join(whole, (F.col("sig") == F.col("_sig")) & (F.col("n") > 0), "left")
     own = F.col("doc_id").isNotNull()
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(own, F.coalesce("component", "doc_id")).alias("component_id"), "sig", F.coalesce("label", "sig").alias("label"))
+    return joined.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(own, F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        F.when(own, F.coalesce("component", "class_id", "doc_id")).alias("component_id"), "sig", F.coalesce("label", "sig").alias("label"),
+    )
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose id is the least of their component; rows without an id stay. Rows that share an id are judged each by its
     own set: those in one component (equal sets, or linked ones) stay once, others beside each other. Of these the row with the least text stays, of equal texts the
     one whose row is least as JSON."""
-    found = saved(labelled_sets(docs, doc_id, text, n, percent, False), "jaccard-found")
+    found = saved(labelled_sets(docs, doc_id, text, n, percent), "jaccard-found")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         gone = saved(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "jaccard-gone")
-        return docs.join(F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+        return docs.join(F.broadcast(gone) if few(gone) else gone, F.col(doc_id) == F.col("_gone"), "left_anti")
     several = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     judged = found.filter("doc_id is not null").join(several, "doc_id").filter("rows > 1 or doc_id <> component_id")
     judged = saved(judged.select(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig"), F.col("label").alias("_label"), (F.col("doc_id") != F.col("component_id")).alias("_gone"), "rows").distinct(), "jaccard-judged")
     signed = saved(with_signatures(docs, text, n), "jaccard-signed")
-    few = judged.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    kept = signed.join(F.broadcast(judged) if few else judged, (F.col(doc_id) == F.col("_id")) & (F.col("_own") == F.col("_sig")), "left").filter("_gone is null or not _gone")
+    kept = signed.join(F.broadcast(judged) if few(judged) else judged, (F.col(doc_id) == F.col("_id")) & (F.col("_own") == F.col("_sig")), "left").filter("_gone is null or not _gone")
     order = Window.partitionBy("_id", "_label").orderBy(text, F.to_json(F.struct(*(c for c in docs.columns if c != text))))
     repeated = kept.filter("rows > 1").withColumn("_order", F.row_number().over(order)).filter("_order = 1")
     return repeated.select(*docs.columns).unionAll(kept.filter("rows is null").select(*docs.columns))

@@ -272,7 +272,7 @@ def brute_components(rows, n=5, percent=75):
 @pytest.mark.parametrize("small", [False, True])
 def test_jaccard(spark, corpus, monkeypatch, small):
     if small:  # every path that large inputs take
-        for name, value in (("GROUP", 2), ("CHUNK", 2), ("BROADCAST_ROWS", 0), ("STAR_ROUNDS", 0)):
+        for name, value in (("GROUP", 2), ("ROWS", 50), ("SLOT_GRAMS", 400), ("BROADCAST_ROWS", 0)):
             monkeypatch.setattr(jaccard, name, value)
     want = brute_components([(i, t) for i, t, *_ in corpus])
     got = jaccard.with_components(frame(spark, corpus)).collect()
@@ -285,7 +285,7 @@ def test_jaccard(spark, corpus, monkeypatch, small):
 @pytest.mark.parametrize("small", [False, True])
 def test_jaccard_counts_every_link(spark, monkeypatch, small):
     if small:
-        for name, value in (("BLOCK_GRAMS", 600), ("BROADCAST_ROWS", 0)):
+        for name, value in (("SLOT_GRAMS", 600), ("GROUP", 3), ("ROWS", 7), ("BROADCAST_ROWS", 0)):
             monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(90)]
