@@ -9,9 +9,11 @@ texts outside the held-out fold. Weights are shrunk towards zero (soft threshold
 Training uses a bounded sample: at most ``positives`` toxic texts and ``unlabelled`` others (documented parameters), those
 with the least hash of the id; scoring covers every whole text. The label, language, source and id are never features.
 
-Defined results: null and empty texts score as a text without words; a null id is never in the held-out fold, nor in
-training; a document labelled more than once is toxic if any label says so; null labels don't count; without a toxic label
-outside the held-out fold every score is 0; repeated rows score alike; an empty table gives an empty result.
+Defined results: null and empty texts score as a text without words; very long texts are read whole; a null id is never in the
+held-out fold, nor in training; a document labelled more than once is toxic if any label says so; null labels don't count; where
+nothing can be told apart (no label outside the held-out fold, all of one kind, or no such text) every score is the rate of toxic
+labels: 0 without any, 1 if all are; ties in the sample's order go to the smaller id; repeated rows score alike; other columns
+stay as they are, but for one named tox_score; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +25,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import saved, table
+from .common import discard, saved, table
 
 BITS = 18
+#: Features that a step of the training looks at together.
+SLICE = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 FOLDS = 5
 
@@ -64,20 +69,39 @@ def sparse(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rows:
-    """Texts as sparse rows: which features each has, of those in ``kept`` (positions in the weights)."""
+    """Texts as sparse rows: which features each has, of those in ``kept`` (positions in the weights). Products run over SLICE features at a time."""
 
     def __init__(self, flat, starts, kept):
         self.n, self.width = len(starts) - 1, len(kept)
         place = np.full(1 << BITS, -1, np.int32)
-        place[kept] = np.arange(len(kept))
-        col = place[flat]
-        self.row, self.col = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(starts))[col >= 0], col[col >= 0]
+        place[kept] = np.arange(len(kept), dtype=np.int32)
+        col, sizes = [np.empty(0, np.int32)], np.zeros(self.n, np.int64)
+        self.cuts = [0]  # whole texts, about SLICE features of them
+        while self.cuts[-1] < self.n:
+            lo = self.cuts[-1]
+            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + SLICE, "right")) - 1)
+            part = place[flat[starts[lo] : starts[hi]]]
+            sizes[lo:hi] = np.diff(np.concatenate([[0], np.cumsum(part >= 0)])[starts[lo : hi + 1] - starts[lo]])
+            col.append(part[part >= 0])
+            self.cuts.append(hi)
+        self.col, self.at = np.concatenate(col), np.concatenate([[0], np.cumsum(sizes)])
+
+    def slices(self):
+        for lo, hi in zip(self.cuts, self.cuts[1:], strict=False):
+            at = self.at[lo : hi + 1]
+            yield lo, hi, self.col[at[0] : at[-1]], np.repeat(np.arange(hi - lo, dtype=np.int32), np.diff(at))
 
     def dot(self, w):
-        return np.bincount(self.row, w[self.col], self.n)
+        out = np.empty(self.n)
+        for lo, hi, col, row in self.slices():
+            out[lo:hi] = np.bincount(row, w[col], hi - lo)
+        return out
 
     def back(self, g):
-        return np.bincount(self.col, g[self.row], self.width)
+        out = np.zeros(self.width)
+        for lo, hi, col, row in self.slices():
+            out += np.bincount(col, g[lo:hi][row], self.width)
+        return out
 
 
 def sigmoid(z):
@@ -117,12 +141,12 @@ def train(p: tuple, u: tuple, prior: float, epochs: int = 200, rate: float = 0.0
 
 
 def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, positives: int, unlabelled: int):
-    """((P, U) as sparse() gives them, prior), or None if no label can be learnt from."""
+    """(P and U as sparse() gives them, or None if there is no text of one of them; rate of toxic labels, 0 without labels)."""
     known = labels.filter(F.col(doc_id).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max("toxic").alias("toxic")).filter(fold(F.col("_id")) != 0)
     first = F.xxhash64("_id"), F.col("_id")
-    prior = known.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("p")).first()["p"]
-    if not prior or prior >= 1:
-        return None
+    prior = known.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("p")).first()["p"] or 0.0
+    if not 0 < prior < 1:
+        return None, prior
     p = known.filter("toxic = 1").select("_id", F.lit(1).alias("_kind")).orderBy(*first).limit(positives)
     u = docs.select(F.col(doc_id).alias("_id")).filter(F.col("_id").isNotNull() & (fold(F.col("_id")) != 0)).groupBy("_id").agg(F.lit(0).alias("_kind")).orderBy(*first).limit(unlabelled)
     chosen = saved(p.unionAll(u), "toxicity-sample")  # positives + unlabelled rows at most
@@ -134,21 +158,28 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, positives
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_kind"), pa.array(got, pa.binary())], names=["_id", "_kind", "f"])
 
     found = rows.mapInArrow(features, f"_id {dict(chosen.dtypes)['_id']}, _kind int, f binary")
-    found = found.groupBy("_id", "_kind").agg(F.min("f").alias("f")).toArrow().sort_by([("_kind", "ascending"), ("_id", "ascending")])
+    # Both kinds together are at most positives + unlabelled texts of at most 2**BITS features; each is read on its own.
+    found = saved(found.groupBy("_id", "_kind").agg(F.min("f").alias("f")), "toxicity-features")
     out = []
     for kind in (1, 0):
-        own = [np.frombuffer(f, np.int32) for k, f in zip(found["_kind"].to_pylist(), found["f"].to_pylist(), strict=True) if k == kind]
-        out.append((np.concatenate([np.empty(0, np.int32), *own]), np.cumsum([0, *map(len, own)])))
-    return (*out, prior) if all(len(s) > 1 for _, s in out) else None
+        flat, starts = [np.empty(0, np.int32)], [0]
+        for r in found.filter(F.col("_kind") == kind).sort("_id").select("f").toLocalIterator():
+            flat.append(np.frombuffer(bytes(r["f"]), np.int32))
+            starts.append(starts[-1] + len(flat[-1]))
+        out.append((np.concatenate(flat), np.array(starts, np.int64)))
+    discard(found)
+    return out if all(len(s) > 1 for _, s in out) else None, prior
 
 
 def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", positives: int = 2000, unlabelled: int = 4000) -> DataFrame:
     """``docs`` with tox_score (a column of that name is replaced)."""
-    got = sample(docs, labels, doc_id, text, positives, unlabelled)
     docs = docs.drop("tox_score")
+    got, prior = sample(docs, labels, doc_id, text, positives, unlabelled)
     if got is None:
-        return docs.withColumn("tox_score", F.lit(0.0))
-    sent = docs.sparkSession.sparkContext.broadcast(train(*got))  # at most 2**BITS weights
+        return docs.withColumn("tox_score", F.lit(float(prior)))
+    trained = train(*got, prior)
+    del got
+    sent = docs.sparkSession.sparkContext.broadcast(trained)  # at most 2**BITS weights
 
     def task(batches, text=text):
         weights, memo = sent.value, {}
@@ -166,8 +197,6 @@ def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 z[i] = weights[-1] + sum(weights[x] for x in sorted(has))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sigmoid(z))], names=[*b.schema.names, "tox_score"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     return docs.mapInArrow(task, StructType([*docs.schema.fields, StructField("tox_score", DoubleType())]))
 
 
