@@ -57,6 +57,16 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def aside(docs: DataFrame, *names: str):
+    """``docs`` with its columns of these names renamed, and a function that gives them their names back."""
+    taken = [c for c in docs.columns if c.lower() in names]
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.withColumnsRenamed({f"_aside_{c}": c for c in taken})
+
+    return docs.withColumnsRenamed({c: f"_aside_{c}" for c in taken}), back
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)).cast("long"), F.lit(0).cast("long"))
 

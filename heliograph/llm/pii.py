@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import aside, saved, table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -192,18 +192,19 @@ def find_personal_data(docs: DataFrame, text: str = "text", threshold: float = 0
 
 
 def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with each span of its text replaced by the kind in angle brackets; of overlapping spans the first stands."""
+    """``docs`` with each span of its text replaced by its kind in angle brackets; spans that overlap go together, under the first one's kind."""
     order = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"], s["end"], s["kind"])))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def grow(acc, s):
         piece = F.concat(F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out")))
+        further = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
+        return F.when(s["start"] < acc["at"], further).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out")))
 
     done = F.aggregate(order, start, grow, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))))
-    columns = docs.columns
+    docs, back = aside(docs, "pii_base", "pii_spans")
     found = find_personal_data(docs, text, **options)
-    return found.withColumn(text, F.when(F.size("pii_spans") > 0, done).otherwise(F.col(text))).select(*(F.col(f"`{c}`") for c in columns))
+    return back(found.withColumn(text, F.when(F.size("pii_spans") > 0, done).otherwise(F.col(text))).select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def op2_personal_data(spark, sf_dir):
