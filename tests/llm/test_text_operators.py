@@ -83,6 +83,16 @@ def test_mixing(spark, corpus):
         rate = goal / whole
         assert copies in (int(rate), int(rate) + 1) and copies <= 3
     assert abs(sum(target.values()) - total) < 1e-6
+    for s in sizes:  # repeated rows (88) draw together
+        own = [(size * copies, size) for _, size, _, _, copies, of in rows if of == s]
+        assert abs(sum(x for x, _ in own) - target[s]) <= 2 * max(x for _, x in own)
+
+
+def test_mixing_comes_near_the_targets(spark):
+    rng = random.Random(1)
+    rows = [(i, "w " * rng.choice((1, 5, 40, 300)), "en", f"s{min(i % 9, 5)}") for i in range(900)] + [(1000, "", "en", "empty"), (1001, "x " * 100_000, "en", "one")]
+    got = mixing.with_copies(frame(spark, rows)).groupBy("source").agg(F.sum(F.col("mix_size") * F.col("mix_copies")).alias("taken"), F.max("mix_target").alias("target"), F.max("mix_size").alias("most")).collect()
+    assert len(got) == 8 and all(abs(r.taken - r.target) <= r.most / 2 + 1e-6 for r in got)
 
 
 def test_mixing_odd(spark):
@@ -91,6 +101,7 @@ def test_mixing_odd(spark):
     assert got[None].weight == 2 and got["x"].source_size == 1
     out = mixing.mix_sources(df)
     assert out.columns == ["doc_id", "text", "source", "mix_size", "mix_copy"] and out.count() <= 9
+    assert {(r.doc_id, r.mix_size) for r in out.collect()} <= {(None, 5), (1, 6), (2, 7)}
     assert mixing.mix_sources(df.limit(0)).count() == 0
     assert sorted(map(str, mixing.mix_sources(df).collect())) == sorted(map(str, mixing.mix_sources(df).collect()))
 
@@ -131,6 +142,8 @@ def test_personal_data(spark):
     done = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert done[len(texts) - 1] == "😀 <EMAIL> <CARD>" and done[150] is None and "(at)" not in done[len(texts) - 2]
     assert pii.find_personal_data(df.limit(0)).count() == 0
+    over = spark.createDataFrame([(1, "joe@x.4111-1111 1111 1111 end"), (2, "a 4111-1111-1111-1111 b")], "doc_id long, text string").withColumn("pii_spans", F.lit("clash"))
+    assert sorted(tuple(r) for r in pii.redact(over).collect()) == [(1, "<EMAIL> end", "clash"), (2, "a <CARD> b", "clash")]
     plan = pii.find_personal_data(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
@@ -453,6 +466,7 @@ def test_toxicity(spark):
     assert by[700] == by[701] < 0.5 < by[702]
     none = toxicity.scored(docs, known.filter("toxic = 0"))
     assert none.agg(F.max("tox_score")).first()[0] == 0 and toxicity.scored(docs.limit(0), known).count() == 0
+    assert toxicity.scored(docs, known.filter("toxic = 1")).agg(F.min("tox_score")).first()[0] == 1 and toxicity.scored(docs, known.limit(0)).agg(F.max("tox_score")).first()[0] == 0
     again = {r.doc_id: r.tox_score for r in toxicity.scored(docs, known).collect() if r.doc_id is not None}
     assert again == by
 
