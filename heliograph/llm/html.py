@@ -11,14 +11,17 @@ map-side sums, whatever share of all pages a host has.
 
 Menus and adverts vary from page to page as well, so which slots are main text is told by names: slots of menus, headers,
 footers, sidebars, notices, adverts, forms, comments and the like are left out; the remaining ones are the main text:
-those inside article (else main, else a content container), or everything that remains if there is none. Names alone
+those inside article (else main, else a content container), or everything that remains if there is none. Inside an article a name must say so
+throughout ("widget-theory" does not), and an article without a heading of its own gets that of the main or container around it. Names alone
 decide where classes can't: on a host with one page or copies of one, for a content container in which more is constant than
 varies (a copied article rather than a template), and for a page on which nothing would remain.
 
 On a page an element opens a slot if it is balanced there or bounds a region by its meaning.
 
 Defined results: null or empty html gives empty text; a null url is a host of its own; broken markup is read as far as it
-goes, and an unended tag or comment reaches to the end; repeated rows give equal rows and support nothing; an empty table an empty result.
+goes, and an unended tag, value or comment reaches to the end; very long pages, hostile ones too, take time in proportion to their length; white space is
+that of ASCII, so a no-break space stays; of two containers of one rank both are text; repeated rows give equal rows and support nothing; other columns
+are not read, so their names can't clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,8 +39,10 @@ from pyspark.sql import functions as F
 from .common import saved, table
 from .urls import host_and_path
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-RAW = re.compile(r"<(script|style|noscript|template|iframe|svg|title|textarea|select|button|object)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
+# A quote opens a value only after "="; what is never closed reaches to the end, so no part of a page is read more than a few times.
+_REST = r"(?:=[ \t\n\r\f\v]*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))|[^>=]++|=)*+"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)({_REST})(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
+RAW = re.compile(rf"<(script|style|noscript|template|iframe|svg|title|textarea|select|button|object)\b{_REST}(?:>|\Z).*?(?:</\1\s*+>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 # Element names of HTML by their role, and words in class, id and role of what is no main text.
@@ -49,6 +54,7 @@ OUT_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header legal login masthead menu menus modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond search share sharing sidebar sidebars social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
 CONTENT_WORDS = set("article content entry main post story".split())
+FRAME_WORDS = set("area bar block body bottom box button buttons container extra float form global group icons inline inner item items left like link links list main middle outer page panel posts primary right row secondary section signup site slot small sticky text thread title top unit wrap wrapper".split())
 PATH = REGION & BLOCK
 DIGITS = re.compile(r"[0-9]+")
 #: Constant lines of all hosts that are broadcast; beyond that the pages of a host are dealt into so many parts.
@@ -63,6 +69,17 @@ def words_of(attrs: str) -> set[str]:
     return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", attrs).lower())) if attrs else set()
 
 
+def named_out(attrs: str, inside: bool) -> bool:
+    """Whether class, id or role tell of what is no main text: by any word, but for the header of an article or the like; inside an article
+    (or main) by a name of which every word says so or is common in names."""
+    if not attrs:
+        return False
+    names = [words_of(x) - {""} for x in re.split(r"[\s=]+", attrs)]
+    if inside:
+        return any(x & OUT_WORDS and x <= OUT_WORDS | FRAME_WORDS for x in names)
+    return any(x & OUT_WORDS - ({"header"} if x & CONTENT_WORDS else set()) for x in names)
+
+
 def tokens_of(text: str | None) -> list[tuple[int, str, str]]:
     """(0, "", text), (1, name, attributes) of a start tag and (2, name, attributes) of an end tag, in order."""
     text = RAW.sub(" ", text or "")
@@ -87,7 +104,7 @@ def template_tokens(tokens) -> tuple[dict, dict]:
     (0 is the page), and {index of the token that ends a line: (key, key of the element around it, line)}."""
     found, lines = {0: ["", 0, 1, 1]}, {}
     stack: list[tuple[str, int]] = [("", 0)]
-    part: list[str] = []
+    opened, part = Counter(), []
     for i, (kind, name, rest) in enumerate(tokens):
         if kind == 0:
             part.append(rest)
@@ -105,11 +122,13 @@ def template_tokens(tokens) -> tuple[dict, dict]:
             key = key_of(up, "<", f"{name} {DIGITS.sub('#', attributes(rest))}")
             found.setdefault(key, [name, up, 0, 0])[2] += 1
             stack.append((name, key))
-        else:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    found[stack[k][1]][3] += 1
-                    del stack[k:]
+            opened[name] += 1
+        elif opened[name]:
+            while True:
+                last, key = stack.pop()
+                opened[last] -= 1
+                if last == name:
+                    found[key][3] += 1
                     break
     if part:
         _line(lines, len(tokens), stack[-1][1], part)
@@ -176,14 +195,16 @@ def extract(text: str | None, constant=frozenset()) -> str:
     lines = template_tokens(tokens)[1]
     starts, ends = Counter(n for k, n, _ in tokens if k == 1), Counter(n for k, n, _ in tokens if k == 2)
     nested = {n for n in starts if n not in VOID and (starts[n] == ends[n] or n in REGION)} - {"p"}
-    stack: list[tuple[str, bool, int]] = []  # name, left out, rank of the container
-    slots: list[tuple[int, bool, bool, str]] = []  # rank, left out by name, constant over the host, line
-    ended: list[tuple[int, bool]] = [(0, False)]
+    # name, left out by itself, left out with what is around it, rank of the container, in a heading of first rank
+    stack: list[tuple[str, bool, bool, int, bool]] = [("", False, False, 0, False)]
+    opened = Counter()
+    slots: list[tuple[int, bool, bool, bool, str]] = []  # rank, heading, left out by name, constant over the host, line
 
     def flush(i):
         if i in lines:
             key, _, line = lines[i]
-            slots.append((*ended[0], key in constant, line))
+            _, _, out, rank, head = stack[-1]
+            slots.append((rank, head, out, key in constant, line))
 
     for i, (kind, name, rest) in enumerate(tokens):
         if kind == 0:
@@ -194,28 +215,31 @@ def extract(text: str | None, constant=frozenset()) -> str:
         if kind == 1:
             if rest.endswith("/") and name in VOID:
                 continue
-            named = words_of(attributes(rest))
-            inside = max((r for _, _, r in stack), default=0)
-            out = name in OUT and not (name == "header" and inside) or bool(named & OUT_WORDS) and not (name in ("html", "body") or name in ("article", "main") and not named & {"comment", "comments", "reply", "replies"})
+            attrs = attributes(rest)
+            named = words_of(attrs)
             rank = 3 if name == "article" else 2 if name == "main" else 1 if name in ("div", "section") and named & CONTENT_WORDS else 0
+            out = name in OUT and not (name == "header" and stack[-1][3]) or named_out(attrs, stack[-1][3] >= 2) and not (name in ("html", "body") or name in ("article", "main") and not named & {"comment", "comments", "reply", "replies"})
             if rank == 3 and not out and starts[name] == ends[name]:
-                while stack and stack[-1][1] and starts[stack[-1][0]] != ends[stack[-1][0]]:
-                    stack.pop()  # a menu or the like that was never closed ends where the article starts
-            stack.append((name, out, rank))
-        else:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
+                while stack[-1][1] and starts[stack[-1][0]] != ends[stack[-1][0]]:
+                    opened[stack.pop()[0]] -= 1  # a menu or the like that was never closed ends where the article starts
+            _, _, out_around, rank_around, head = stack[-1]
+            stack.append((name, out, out or out_around, max(rank, rank_around), head or name == "h1"))
+            opened[name] += 1
+        elif opened[name]:
+            while True:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == name:
                     break
-        ended[0] = (max((r for _, _, r in stack), default=0), any(o for _, o, _ in stack))
     flush(len(tokens))
-    named = [(r, same, line) for r, out, same, line in slots if not out]
+    named = [(r, head, same, line) for r, head, out, same, line in slots if not out]
     size = Counter()  # of constant lines less that of varying ones, for each rank of a content container
-    for r, same, line in named:
+    for r, _, same, line in named:
         size[r] += len(line) if same else -len(line)
-    kept = [(r, line) for r, same, line in named if not same or r and size[r] > 0] or [(r, line) for r, _, line in named]
-    best = max((r for r, _ in kept), default=0)
-    return "\n".join(line for r, line in kept if r == best or best == 3 and r >= 3)
+    kept = [(r, head, line) for r, head, same, line in named if not same or r and size[r] > 0] or [(r, head, line) for r, head, _, line in named]
+    best = max((r for r, _, _ in kept), default=0)
+    titled = any(head for r, head, _ in kept if r == best)  # else a heading in main or a content container is the article's
+    return "\n".join(line for r, head, line in kept if r == best or best == 3 and r and head and not titled)
 
 
 def with_templates(rows: DataFrame, found: DataFrame, task, schema: str) -> DataFrame:

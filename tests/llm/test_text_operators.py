@@ -235,6 +235,30 @@ def test_html(spark, extra, after):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><div class="post-header"><h1>Title</h1></div><p>Body</p><section class="widget-theory">Theory</section><div class="share-buttons">Share</div></article>', "Title\nBody\nTheory"),
+        ("<main><h1>Title</h1><article><p>Body</p></article><p>More</p></main>", "Title\nBody"),
+        ("<main><h1>Site</h1><article><h1>Title</h1><p>Body</p></article></main>", "Title\nBody"),
+        ('<div class="entry-header"><h1>Title</h1></div><div class="entry-content"><p title="a"">Body</p><div class="adSlot">buy</div></div><div class="site-header">x</div>', "Title\nBody"),
+        ("<article>a<p>b &nbsp;c<!-- <p>d", "a\nb \xa0c"),
+    ],
+)
+def test_what_is_article(page, text):
+    assert html.extract(page) == text
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a b="', "<script ", "<!--", "<div>", "</ul>", "<div></ul>", "<p class='", "&", "<b =", "</script "])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    page = "<ul>" + part * (1_000_000 // len(part)) + '"'
+    began = time.process_time()
+    html.extract(page)
+    assert time.process_time() - began < 20
+
+
 def test_templates(spark):
     pages = spark.createDataFrame([("h", "<div><p>a<p>b</p></div>"), ("h", "<div></div><p>c</p>"), ("g", "<div>")], "host string, html string")
     assert {r.host: sorted(r.valid) for r in html.host_templates(pages).collect()} == {"h": ["div"], "g": []}
