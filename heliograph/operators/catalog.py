@@ -115,7 +115,7 @@ def by_index(df: DataFrame, index: int) -> DataFrame:
 def by_name(df: DataFrame, name: str) -> DataFrame:
     """Of the HDUs with exactly that EXTNAME the first in each file."""
     first = df.filter(F.col("extname") == name).groupBy(F.col("path").alias("_path")).agg(F.min("hdu_index").alias("_first"))
-    return df.join(F.broadcast(first) if False else first, (F.col("path") == F.col("_path")) & (F.col("hdu_index") == F.col("_first"))).drop("_path", "_first")
+    return df.join(first, (F.col("path") == F.col("_path")) & (F.col("hdu_index") == F.col("_first"))).drop("_path", "_first")
 
 
 def key(df: DataFrame, keyword: str, kind: str = "string") -> DataFrame:

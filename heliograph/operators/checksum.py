@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.blocks import padded
 from ..functions.cards import Card, serialize, text_value, upsert
 from ..sources import files
-from ..sources.hdu import read_hdus
+from ..sources.hdu import ASCII, read_hdus
 
 MASK = 0xFFFFFFFF
 CHUNK = 64 << 20
@@ -121,7 +121,7 @@ def stamp_file(path: str) -> None:
                     data = f.read(min(CHUNK, left))
                     out.write(data)
                     left -= len(data)
-            out.write(b"\0" * (padded(hdu.data_len) - hdu.data_len))
+            out.write((b" " if hdu.kind == ASCII else b"\0") * (padded(hdu.data_len) - hdu.data_len))
     files.move(new, path)
 
 

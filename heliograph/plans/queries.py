@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import padded_column
-from ..functions.cards import Card, ComplexInt
+from ..functions.cards import Card
 from ..operators import calibration, catalog, checksum, edit
 from ..operators.handle import FitsHandle
 from ..sources.fits import read_fits
-from ..sources.hdu import extension_cards, primary_cards
-from ..sources.sink import image_hdu, table_hdu, write_fits, write_local
+from ..sources.hdu import primary_cards
+from ..sources.sink import table_hdu, write_fits, write_local
 from ..sources.tiles import rice_encode, tiled_cards
 from .work import shared_path, table
 
@@ -574,5 +574,3 @@ def fits_topk(spark, sf_dir):
     o = read_fits(spark, encoded(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "orders"))
     return o.orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(10)
 
-
-__all__ = ["QUERIES", "SQL", "ComplexInt", "extension_cards", "image_hdu"]

@@ -11,9 +11,11 @@ _own: list[str] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a folder of our own only where that is unset."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); on one machine, a folder of our own where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="heliograph-"))
         root = _own[0]

@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 from ..functions.errors import InvalidValue, UnexpectedEof
 from .schema import NUMPY, SIZES, AsciiColumn, Column, row_dtype
 
+#: What descriptors of P columns can point to.
+P_HEAP = 2**31 - 1
 _ARROW = {"u1": pa.int16(), "i2": pa.int16(), "i4": pa.int32(), "i8": pa.int64(), "f4": pa.float32(), "f8": pa.float64()}
 
 
@@ -53,6 +55,10 @@ def text_array(cells: np.ndarray) -> pa.Array:
         raise InvalidValue("text that isn't UTF-8") from e
 
 
+#: A range of the heap is read as one if it is at most so many times what is wanted of it.
+SPARSE = 4
+
+
 class Heap:
     """The heap of a binary table, read in ranges."""
 
@@ -73,7 +79,12 @@ def heap_array(c: Column, cells: np.ndarray, heap: Heap, null_logical: bool = Fa
     length = -(-count // 8) if c.item == "X" else count * size
     full = length > 0
     lo, hi = (int(at[full].min()), int((at + length)[full].max())) if full.any() else (0, 0)
-    data = np.frombuffer(heap.read(lo, hi), np.uint8) if hi > lo else np.empty(0, np.uint8)
+    if hi - lo > SPARSE * int(length.sum()) + (1 << 20):  # cells lie far apart: each is fetched
+        cells_at = zip(at.tolist(), length.tolist(), strict=True)
+        data = np.frombuffer(b"".join(heap.read(a, a + n) if n else b"" for a, n in cells_at), np.uint8)
+        lo, at = 0, np.concatenate([[0], np.cumsum(length)[:-1]])
+    else:
+        data = np.frombuffer(heap.read(lo, hi), np.uint8) if hi > lo else np.empty(0, np.uint8)
     starts = np.where(full, at - lo, 0)
     ends = np.concatenate([[0], np.cumsum(length)])
     if not (full.sum() and np.array_equal(starts[full], ends[:-1][full]) and ends[-1] == len(data)):
@@ -88,6 +99,20 @@ def heap_array(c: Column, cells: np.ndarray, heap: Heap, null_logical: bool = Fa
     return pa.ListArray.from_arrays(pa.array((ends // size).astype(np.int32)), items)
 
 
+def heap_cuts(data: bytes, columns: list[Column], width: int, most: int) -> list[int]:
+    """Row numbers at which a run of records is cut, so that a part's cells hold about ``most`` bytes of the heap, or one row does."""
+    records = np.frombuffer(data, row_dtype(columns, width))
+    size = np.zeros(len(records), np.int64)
+    for i, c in enumerate(columns):
+        if c.item:
+            size += records[f"f{i}"].reshape(len(records), -1)[:, 0].astype(np.int64) * SIZES[c.item]
+    total, cuts = np.cumsum(size), [0]
+    while cuts[-1] < len(records):
+        before = int(total[cuts[-1] - 1]) if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(total, before + most, "right"))))
+    return cuts
+
+
 def table_arrays(data: bytes, columns: list[Column], width: int, heap: Heap | None, null_logical=False, physical=False, tdim=False) -> list[pa.Array]:
     """The wanted columns of a run of records: one view of the bytes serves all of them."""
     records = np.frombuffer(data, row_dtype(columns, width)) if width else np.empty(0, np.uint8)
@@ -143,7 +168,9 @@ def _numbers(col: pa.Array, code: str) -> np.ndarray:
         return filled
     if code in "CM":
         re, im = (_floats(pc.struct_field(col, n)).to_numpy(zero_copy_only=False) for n in ("re", "im"))
-        return (re + 1j * im).astype(NUMPY[code])
+        out = np.empty(len(re), NUMPY[code])
+        out.real, out.imag = re, im  # a sum with 1j * im would turn an infinite part into NaN
+        return out
     if code in "ED":
         return _floats(col).to_numpy(zero_copy_only=False).astype(NUMPY[code])
     if col.null_count:
@@ -162,6 +189,12 @@ def _flat(col: pa.Array) -> pa.Array:
     return col
 
 
+def check_heap(c: Column, size: int) -> None:
+    """Descriptors of P columns are 32-bit; a larger heap would be pointed into at the wrong place."""
+    if c.code == "P" and size > P_HEAP:
+        raise InvalidValue(f"column {c.name}: a heap of {size} bytes needs TFORM 1Q{c.item}, given as tforms")
+
+
 def encode(batch: list[pa.Array], columns: list[Column], heap_at: int = 0) -> tuple[bytes, bytes]:
     """(records, heap) of a batch; descriptors count from ``heap_at``."""
     rows = len(batch[0]) if batch else 0
@@ -182,6 +215,7 @@ def encode(batch: list[pa.Array], columns: list[Column], heap_at: int = 0) -> tu
                 data = _numbers(_flat(col), c.item).tobytes()
                 sizes = count * SIZES[c.item]
             at = heap_at + np.concatenate([[0], np.cumsum(sizes)[:-1]]) if rows else np.empty(0, np.int64)
+            check_heap(c, heap_at + int(sizes.sum()))
             records[f"f{i}"] = np.stack([count, at], axis=1)
             heap.append(data)
             heap_at += len(data)

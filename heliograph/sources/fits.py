@@ -30,13 +30,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 from ..functions.cards import float_value, int_value
 from ..functions.errors import InvalidValue, UnexpectedEof
 from . import files
-from .codec import Heap, ascii_arrays, native, table_arrays
+from .codec import Heap, ascii_arrays, heap_cuts, native, table_arrays
 from .hdu import ASCII, BINARY, TILED, Hdu, choose, read_hdus
 from .schema import PIXELS, ascii_columns, ascii_field, binary_columns, pixel_type, spark_field
 from .tiles import Tiling, read_tiles
 
 PARTITION_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
+#: Lines of at least so many bytes are read one by one where a region wants less than a quarter of each; lines looked at together.
+SEEK_BYTES, LINES = 4096, 1 << 20
 #: Up to so many files are opened while planning.
 PLANNED_FILES = 64
 
@@ -68,7 +70,8 @@ class Plan:
         if self.table:
             self.columns = ascii_columns(hdu.cards) if hdu.kind == ASCII else binary_columns(hdu.cards)
             self.count = hdu.table_shape()[1]
-            self.unit = max(1, hdu.table_shape()[0])
+            width, rows = hdu.table_shape()
+            self.unit = max(1, width + (max(0, hdu.data_len - width * rows) // rows if rows else 0))  # with a row's share of the heap
         else:
             self.bitpix, self.axes = hdu.image_bitpix, hdu.shape
             self.line = self.axes[0] if self.axes else 0
@@ -117,7 +120,16 @@ class Plan:
         if not self.table and "section" in self.options:
             a, b = span(self.options["section"])
             lo, hi = max(lo, a // max(1, self.line)), min(hi, -(-b // max(1, self.line)))
-        return lo, hi
+        if not self.table and "region" in self.options:
+            first = last = 0
+            stride = 1
+            ranges = [span(x) for x in self.options["region"].split(",")]
+            for (a, b), n in zip(ranges[1:], self.axes[1:], strict=True):
+                first, last, stride = first + a * stride, last + (b - 1) * stride, stride * n
+            lo, hi = max(lo, first), min(hi, last + 1)
+            if any(b <= a for a, b in ranges):
+                hi = lo
+        return lo, max(lo, hi)
 
     def wanted_lines(self, lo: int, hi: int) -> np.ndarray:
         """Of the lines lo to hi those inside the region, ascending (axis 1 runs fastest)."""
@@ -150,12 +162,16 @@ class Plan:
             start = int_value(self.hdu.cards, "THEAP") or width * rows
             heap = Heap(f, self.hdu.data_start + start, self.hdu.data_len - start)
         step = max(1, BATCH_BYTES // max(1, width))
+        of_heap = any(c.item for c in columns) if self.hdu.kind == BINARY else False
         for a in range(lo, hi, step):
             b = min(hi, a + step)
             f.seek(self.hdu.data_start + a * width)
             data = f.read((b - a) * width)
-            arrays = dict(zip(names, ascii_arrays(data, columns, width) if self.hdu.kind == ASCII else table_arrays(data, columns, width, heap, self.null_logical, self.physical, self.tdim), strict=True))
-            yield self.batch(schema, arrays, b - a, {"_row": lambda a=a, b=b: pa.array(np.arange(a, b))})
+            cuts = heap_cuts(data, columns, width, BATCH_BYTES) if of_heap else [0, b - a]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                part = data[x * width : y * width] if len(cuts) > 2 else data
+                arrays = dict(zip(names, ascii_arrays(part, columns, width) if self.hdu.kind == ASCII else table_arrays(part, columns, width, heap, self.null_logical, self.physical, self.tdim), strict=True))
+                yield self.batch(schema, arrays, y - x, {"_row": lambda x=a + x, y=a + y: pa.array(np.arange(x, y))})
 
     def batch(self, schema, arrays, n, made):
         out = []
@@ -187,11 +203,37 @@ class Plan:
             f.seek(self.hdu.data_start + a * self.unit)
             yield a, np.frombuffer(f.read((b - a) * self.unit), PIXELS[self.bitpix]).reshape(b - a, self.line)
 
+    def region_lines(self, f, lo, hi, first, last):
+        """(lines, matrix of their pixels first to last) of the region in pieces: runs of lines beside each other are read as one,
+        unless the pixels are a small part of long lines, which are then read one by one."""
+        pixel = abs(self.bitpix) // 8
+        wide = last - first
+        alone = self.unit >= SEEK_BYTES and 4 * wide < self.line
+        kind, step = PIXELS[self.bitpix], max(1, BATCH_BYTES // (wide * pixel if alone else self.unit))
+        for a in range(lo, hi, LINES):
+            lines = self.wanted_lines(a, min(hi, a + LINES))
+            for run in np.split(lines, np.flatnonzero(np.diff(lines) != 1) + 1) if len(lines) else ():
+                for k in range(0, len(run), step):
+                    part = run[k : k + step]
+                    if alone:
+                        data = []
+                        for line in part.tolist():
+                            f.seek(self.hdu.data_start + line * self.unit + first * pixel)
+                            data.append(f.read(wide * pixel))
+                        yield part, np.frombuffer(b"".join(data), kind).reshape(len(part), wide)
+                    else:
+                        f.seek(self.hdu.data_start + int(part[0]) * self.unit)
+                        yield part, np.frombuffer(f.read(len(part) * self.unit), kind).reshape(len(part), self.line)[:, first:last]
+
     def tiled_lines(self, f, lo, hi):
         """Tiles of a band that lie beside each other along axis 1 are put together before their lines are cut out."""
         tiling = Tiling(self.hdu)
         across, counts = tiling.counts[0], tiling.counts[1:]
-        for band in range(int(np.prod(counts, dtype=np.int64)) if counts else 1):
+        few = range(1)
+        if counts and hi > lo:  # bands of the slabs along the last axis that hold these lines
+            deep, slab = int(np.prod(self.axes[1:-1], dtype=np.int64)), int(np.prod(counts[:-1], dtype=np.int64))
+            few = range(lo // deep // tiling.cut[-1] * slab, ((hi - 1) // deep // tiling.cut[-1] + 1) * slab)
+        for band in few:
             box = tiling.place(band * across)[1:]
             shape = [b - a for a, b in box]
             grid = np.indices(shape[::-1]).reshape(len(shape), -1)[::-1] if shape else np.zeros((0, 1), np.int64)
@@ -213,11 +255,14 @@ class Plan:
         ranges = [span(x) for x in self.options["region"].split(",")] if "region" in self.options else None
         first, last = ranges[0] if ranges else (0, self.line)
         section = span(self.options["section"]) if "section" in self.options else None
-        for a, data in self.lines(f, lo, hi):
-            lines = self.wanted_lines(a, a + len(data))
+        if ranges and self.hdu.kind != TILED:
+            pieces = self.region_lines(f, lo, hi, first, last)
+        else:
+            whole = ((self.wanted_lines(a, a + len(data)), a, data) for a, data in self.lines(f, lo, hi))
+            pieces = ((lines, data[lines - a, first:last]) for lines, a, data in whole)
+        for lines, data in pieces:
             if not len(lines):
                 continue
-            data = data[lines - a, first:last]
             values = self.physical_values(data.reshape(-1))
             if "data" in schema.names or not {"flat", "value"} & set(schema.names):
                 ends = pa.array(np.arange(len(lines) + 1, dtype=np.int32) * (last - first))

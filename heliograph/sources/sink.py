@@ -32,7 +32,7 @@ from ..functions.blocks import padded
 from ..functions.cards import Card, serialize
 from ..functions.errors import InvalidValue
 from . import files
-from .codec import encode, encode_ascii
+from .codec import check_heap, encode, encode_ascii
 from .hdu import extension_cards, primary_cards
 from .schema import PIXELS, AsciiColumn, Column, default_tform, layout, parse_ascii_tform, row_dtype
 
@@ -188,6 +188,10 @@ class FitsWriter(DataSourceArrowWriter):
         """Header, rows, heap and padding."""
         target = self.target
         rows, heap = sum(s.rows for s in segments), sum(s.heap for s in segments)
+        if target.kind == "table":
+            for c in target.columns:
+                if c.item:
+                    check_heap(c, heap)
         if target.kind == "image" and target.naxes and rows != int(np.prod(target.naxes[1:], dtype=object)):
             raise InvalidValue(f"{rows} lines for axes {target.naxes}")
         out.write(serialize(target.cards(rows, heap)))

@@ -1,14 +1,12 @@
-"""New FITS files as a stream: Structured Streaming finds the files, each batch reads headers where it runs."""
+"""New FITS files as a stream: Structured Streaming finds the files, each batch reads their headers, and no data, where it runs."""
 
 from __future__ import annotations
 
-import io
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.catalog import CATALOG, describe
-from ..sources.hdu import walk
+from ..sources.hdu import read_hdus
 
 
 def stream_catalog(spark: SparkSession, path: str, glob: str = "*.fits", files_per_trigger: int = 1000) -> DataFrame:
@@ -27,7 +25,7 @@ def stream_catalog(spark: SparkSession, path: str, glob: str = "*.fits", files_p
 
     def task(batches):
         for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pylist([describe(h, False) for h in walk(io.BytesIO(content), len(content), name)], schema=schema)
+            for name in b.column("path").to_pylist():
+                yield pa.RecordBatch.from_pylist([describe(h, False) for h in read_hdus(name)], schema=schema)
 
-    return found.select("path", "content").mapInArrow(task, CATALOG)
+    return found.select("path").mapInArrow(task, CATALOG)

@@ -13,12 +13,14 @@ from heliograph.functions.cards import Card
 from heliograph.functions.errors import InvalidValue, UnsupportedCompression
 from heliograph.operators import calibration, catalog, checksum, edit
 from heliograph.operators.handle import FitsHandle
+from heliograph.plans.queries import tiled_file
+from heliograph.sources import codec
 from heliograph.sources.fits import read_fits
 from heliograph.sources.hdu import choose, extension_cards, primary_cards, read_hdus
-from heliograph.sources.schema import parse_ascii_tform, parse_tdim, parse_tform, unique_names
+from heliograph.sources.schema import layout, parse_ascii_tform, parse_tdim, parse_tform, unique_names
 from heliograph.sources.sink import image_hdu, table_hdu, write_fits, write_local
 from heliograph.sources.tiles import gunzip, rice_decode, rice_encode
-from heliograph.plans.queries import tiled_file
+
 
 
 def rows(df):
@@ -264,3 +266,67 @@ def test_stream(spark, tmp_path):
 def test_extension_kinds():
     with pytest.raises(Exception):  # noqa: B017
         extension_cards("NOISE", 8, [])
+
+
+def test_complex_cells_keep_infinite_parts():
+    z = pa.StructArray.from_arrays([pa.array([1.0, float("inf"), float("nan")]), pa.array([float("inf"), 0.0, -1.0])], names=["re", "im"])
+    data, _ = codec.encode([z], layout([("z", "1M")]))
+    assert np.array_equal(np.frombuffer(data, ">f8"), [1, np.inf, np.inf, 0, np.nan, -1], equal_nan=True)
+
+
+def test_descriptors_of_32_bits_do_not_wrap():
+    cells = pa.array([b"abc"], pa.binary())
+    with pytest.raises(InvalidValue):
+        codec.encode([cells], layout([("a", "1PB")]), 2**31 - 2)
+    assert codec.encode([cells], layout([("a", "1QB")]), 2**32 + 5)[0][-8:] == (2**32 + 5).to_bytes(8, "big")
+
+
+def test_a_small_region_reads_few_bytes(spark, tmp_path, monkeypatch):
+    from heliograph.sources import files
+    from heliograph.sources import fits as source
+
+    path = f"{tmp_path}/image.fits"
+    pixels = np.arange(2000 * 1000).reshape(1000, 2000)
+    write_local(path, [image_hdu(pixels, 32, [2000, 1000], primary=True)])
+    read = []
+
+    class Counting:
+        def __init__(self, f):
+            self.f = f
+
+        def read(self, *n):
+            data = self.f.read(*n)
+            read.append(len(data))
+            return data
+
+        def seek(self, *a):
+            return self.f.seek(*a)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            self.f.close()
+
+    real = files.open_read
+    monkeypatch.setattr(files, "open_read", lambda p: Counting(real(p)))
+    plan = source.make_plan(path, {"path": path, "region": "50:60,500:520"})
+    lo, hi = plan.limits()
+    read.clear()
+    got = [r for b in plan.batches(source.T.StructType(plan.fields()), lo, hi) for r in b.to_pylist()]
+    assert [r["row_index"] for r in got] == list(range(500, 520)) and [r["data"] for r in got] == pixels[500:520, 50:60].tolist()
+    assert sum(read) == 20 * 10 * 4
+
+
+def test_cells_of_the_heap_come_in_parts(tmp_path):
+    sizes = [5, 0, 3, 100, 1, 0]
+    cells = pa.array([list(range(n)) for n in sizes], pa.list_(pa.int32()))
+    columns = layout([("a", "1PJ")])
+    data, heap = codec.encode([cells], columns)
+    assert codec.heap_cuts(data, columns, 8, 40) == [0, 3, 4, 6]
+
+    class Held:
+        def read(self, lo, hi):
+            return heap[lo:hi]
+
+    assert codec.table_arrays(data, columns, 8, Held())[0].to_pylist() == cells.to_pylist()

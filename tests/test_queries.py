@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from heliograph.plans import structure  # noqa: F401
 from heliograph.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
