@@ -9,7 +9,9 @@ A bound that equals the k-th score is still visited, since ties go to the smalle
 Queries are dealt with in groups of bounded size, each broadcast and run against all rows; only k rows per query and task
 are shuffled. Defined results: vectors that are null, or hold null or non-finite components, and rows with a null id take no
 part; vectors of another length than the query's are no candidates; repeated ids are separate rows and rank side by side,
-and a query skips every row of its own id; an empty table gives an empty result.
+and a query skips every row of its own id; very long vectors are whole rows of the index, and a sum beyond 2**53 is taken in integers;
+other columns are not read, so their names can't clash; an empty table gives an empty result. The number of passes over the rows
+grows with the queries, one for each GROUP_VALUES of their components: the work is queries times rows, less what bounds spare.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .common import saved, table
 BLOCK = 256
 #: Components of one group of queries; 8 bytes each.
 GROUP_VALUES = 2_000_000
+#: Bounds (a query and a block each) that a task holds at once; 16 bytes each, and a few times that while they are made.
+BOUNDS = 1_000_000
 _OUT = "query_id long, vec_id long, score long"
 
 
@@ -63,11 +67,20 @@ NONE = -(2**62)  # below any score, and safe to negate
 
 
 def search(q_ids, q, ids, x, k, block=BLOCK):
-    """Top k of each query among the rows x (in order of id); arrays query, vec, score. Also the share of blocks visited."""
+    """Top k of each query among the rows x (in order of id); arrays query, vec, score. Also the share of blocks visited. Queries are
+    taken BOUNDS // blocks at a time, so that their bounds and turns stay small whatever the number of blocks."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
-    n, cuts = len(ids), np.arange(0, len(ids), block)
+    cuts = np.arange(0, len(ids), block)
     high, low = np.maximum.reduceat(x, cuts, axis=0), np.minimum.reduceat(x, cuts, axis=0)
+    step = max(1, BOUNDS // len(cuts))
+    parts = [_search(q_ids[i : i + step], q[i : i + step], ids, x, k, block, cuts, high, low) for i in range(0, len(q), step)]
+    found = [np.concatenate(c) for c in list(zip(*parts, strict=True))[:3]] if parts else [np.empty(0, np.int64)] * 3
+    return *found, sum(p[3] for p in parts) / max(1, len(q) * len(cuts))
+
+
+def _search(q_ids, q, ids, x, k, block, cuts, high, low):
+    n = len(ids)
     bound = product(np.maximum(q, 0), high) + product(np.minimum(q, 0), low)
     turn = np.argsort(-bound, axis=1, kind="stable")
     best = np.full((len(q), k), NONE)
@@ -88,7 +101,7 @@ def search(q_ids, q, ids, x, k, block=BLOCK):
             s[own] = NONE
             best[rows], who[rows] = keep_best(np.hstack([best[rows], s]), np.hstack([who[rows], np.where(own, np.iinfo(np.int64).max, ids[lo:hi][None, :])]), k)
     got = best > NONE
-    return np.repeat(q_ids, got.sum(axis=1)), who[got], best[got], visited / max(1, len(q) * len(cuts))
+    return np.repeat(q_ids, got.sum(axis=1)), who[got], best[got], visited
 
 
 def matrix(column: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
