@@ -21,8 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, one machine)
-    is a folder of our own made.
+    The cluster names it in ``spark.checkpoint.dir``; only on one machine (tests) is a folder of our own made where that is unset.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -30,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="heliograph-"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
