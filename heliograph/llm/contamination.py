@@ -10,7 +10,10 @@ and run against all texts; nothing else is moved.
 
 Defined results: a null or empty text or item covers nothing; an item shorter than ``least`` words is sought whole; a
 repeated item id is an item of its own per row, and a pair is reported once with its highest coverage; repeated
-documents give a row each in clean() and one pair in contaminated(); an empty table on either side finds nothing.
+documents give a row each in clean() and one pair in contaminated(); of equally long matches the one that starts first in the item, then in the text,
+is marked first; very long texts are read whole, and of them only words in shared seeds are tiled; columns other than the two named
+on either side are not read, so their names can't clash; an empty table on either side finds nothing. Each BLOCK_BYTES of benchmark text is
+one more pass over the documents.
 """
 
 from __future__ import annotations

@@ -15,4 +15,4 @@ QUERIES = {
     "op10_topk": topk.op10_topk,
 }
 
-SQL = {"op1_mix_sources": mixing.OP1_SQL, "op3_warc": warc.OP3_SQL, "op8_substrings": substrings.OP8_SQL, "op10_topk": topk.OP10_SQL}
+SQL = {"op1_mix_sources": mixing.OP1_SQL, "op3_warc": warc.OP3_SQL, "op5_url_filter": urls.OP5_SQL, "op8_substrings": substrings.OP8_SQL, "op10_topk": topk.OP10_SQL}

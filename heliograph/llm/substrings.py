@@ -10,7 +10,8 @@ smaller document, it is removed. Windows made of frequent n-grams alone lie insi
 share; their regions are equal, so a passage of any frequency comes down to a few classes and no shard is hot.
 
 Defined results: texts of fewer than ``length`` words, empty or null lose nothing; a null id takes no part; what a document
-repeats of itself stays; rows that share an id are told apart by their text, and do not remove from each other; an
+repeats of itself stays; rows that share an id are told apart by their text, and do not remove from each other; of several documents
+with a window the least id keeps it, so there are no ties; very long texts are read whole; other columns are not read, so their names can't clash; an
 empty table gives an empty result. Words are bytes between ASCII white space, kept as they are.
 """
 

@@ -1,13 +1,15 @@
 """Operator 5: URL filter rules, and link-graph propagation for what no rule decides. DataFrame functions only.
 
 Trust starts at hosts by the share of their pages that allow rules fit and follows links, distrust starts by the share
-that block rules fit and goes against links (who links to a blocked host is suspect), each as personalised PageRank:
-score = seed + damping * inflow / degree, until no score moves by the tolerance. A host without pages starts by the share of
-the different URLs linked to at it. A host is blocked if its distrust is at least ``threshold`` and above its trust.
+that block rules fit and goes against links (who links to a blocked host is suspect). Both are personalised PageRank: with seeds
+that add up to 1, score = (1 - damping) * seed + damping * inflow / degree, until no score moves by the tolerance, so scores add up
+to 1 at most however many links there are. A host without pages starts by the share of the different URLs linked to at it.
+Scores are given in units of one whole seed's own part, (1 - damping) / sum of the seeds, so that thresholds don't depend on
+the size of the web: a host is blocked if its distrust is at least ``threshold`` of that and above its trust.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule and verdict allow; null html has
-no links; the longest fitting rule wins, of equally long ones the first given; repeated rows are judged each; an empty table
-gives an empty result. Input columns other than the three named are left out.
+no links; the longest fitting rule wins, of equally long ones the first given; repeated rows are judged each; very long urls and pages are read whole; an empty table
+gives an empty result. Input columns other than the three named are left out, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -61,24 +63,29 @@ def links_of(pages: DataFrame) -> DataFrame:
 
 
 def propagated(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int | None, tolerance: float) -> DataFrame:
-    """Scores (host, score) from seeds (host, seed) along edges src -> dst; a node passes its score on in equal shares. Ends since
-    what moves shrinks by damping a round; raises if ``rounds`` are given and don't suffice."""
+    """Personalised PageRank (host, score) from seeds (host, seed) along edges src -> dst, in units of a whole seed's own part; a node passes
+    its score on in equal shares. It ends when no score moves by the tolerance in these units, since what moves shrinks by damping a
+    round; raises if ``rounds`` are given and don't suffice."""
     if not (0 <= damping < 1 and tolerance > 0):
         raise ValueError("damping must be in [0, 1) and tolerance above 0")
+    total = seeds.agg(F.sum("seed").alias("n")).first()["n"] or 1.0
+    unit = (1 - damping) / total
+    own = saved(seeds.select("host", (F.col("seed") * unit).alias("part")), "url-seed")
     shares = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     weighted = saved(edges.join(shares, "src"), "url-weighted")
-    score = saved(seeds.select("host", F.col("seed").alias("score")), "url-score")
+    score = saved(own.select("host", F.col("part").alias("score")), "url-score")
     for k in count():
         if k == rounds:
             raise RuntimeError(f"scores still change after {rounds} rounds")
         flow = weighted.join(score, weighted.src == score.host).groupBy("dst").agg((damping * F.sum(F.col("score") / F.col("degree"))).alias("flow"))
-        both = seeds.join(flow, seeds.host == flow.dst, "full_outer").select(F.coalesce("host", "dst").alias("host"), (F.coalesce("seed", F.lit(0.0)) + F.coalesce("flow", F.lit(0.0))).alias("score"))
+        both = own.join(flow, own.host == flow.dst, "full_outer").select(F.coalesce("host", "dst").alias("host"), (F.coalesce("part", F.lit(0.0)) + F.coalesce("flow", F.lit(0.0))).alias("score"))
         old, score = score, saved(both, "url-score")
         moved = score.join(old.select("host", F.col("score").alias("was")), "host", "left").agg(F.max(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0)))).alias("d")).first()["d"]
         discard(old)
-        if (moved or 0) < tolerance:
+        if (moved or 0) < tolerance * unit:
             break
-    return score
+    discard(weighted)
+    return score.select("host", (F.col("score") / unit).alias("score"))
 
 
 def judged_hosts(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4, threshold: float = 0.5) -> DataFrame:
@@ -115,3 +122,17 @@ def filter_urls(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: st
 
 def op5_url_filter(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages"))
+
+
+#: Hosts, paths, rules and the verdicts that follow from a host's own pages. Propagation is left out: this holds for pages without absolute
+#: links to other hosts, as the given ones are; with links the operator is held against brute force in its tests.
+OP5_SQL = r"""
+with r(place, kind, rule, rhost, tail) as (values (1, 'allow', 'example.com/en/7', 'example.com', '/en/7'), (2, 'block', 'example.net/de/8', 'example.net', '/de/8'),
+        (3, 'block', 'com/en/', 'com', '/en/'), (4, 'allow', 'net/de/', 'net', '/de/'), (5, 'block', 'org/es/', 'org', '/es/')),
+u as (select page_id, row_number() over () as n, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (select n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+m as (select n, min_by(rule, place) as rule, min_by(kind, place) as kind from h join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, tail) group by n),
+f as (select h.*, m.rule, m.kind from h left join m using (n)),
+s as (select host, avg((kind is not null and kind = 'allow')::int)::double as trust, avg((kind is not null and kind = 'block')::int)::double as distrust from f where host <> '' group by host)
+select page_id, f.host, path, rule, coalesce(kind, case when distrust >= 0.5 and distrust > trust then 'block' else 'allow' end) as verdict, trust, distrust from f left join s on f.host = s.host
+"""

@@ -19,7 +19,7 @@ def plain(frame):
     return sorted(tuple(text(row[c]) for c in sorted(frame.columns)) for row in frame.astype(object).where(frame.notna(), None).to_dict("records"))
 
 
-@pytest.mark.parametrize("name", ["op1_mix_sources", "op3_warc", "op8_substrings", "op10_topk"])
+@pytest.mark.parametrize("name", ["op1_mix_sources", "op3_warc", "op5_url_filter", "op8_substrings", "op10_topk"])
 def test_sql(spark, name):
     from heliograph.llm.queries import QUERIES, SQL
 

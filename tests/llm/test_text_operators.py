@@ -217,6 +217,41 @@ def test_scores_of_a_cycle_settle(spark):
         urls.propagated(edges, seeds, 0.85, 3, 1e-4)
 
 
+def test_links_against_brute_force(spark):
+    """Rules, seeds, PageRank both ways and verdicts of random pages, in plain Python over all pairs of hosts."""
+    rng = random.Random(8)
+    hosts = [f"h{i}.{t}" for i in range(4) for t in ("com", "net", "org", "info", "io")]
+    where = lambda: (rng.choice(hosts), rng.choice(["/en/1", "/de/2", "/es/3", "/x"]))
+    rows = []
+    for i in range(120):
+        (h, p), out = where(), [where() for _ in range(rng.randint(0, 3))]
+        rows.append((i, f"http://{h}{p}", " ".join(f'<a href="https://{x}{y}?q">' for x, y in out), h, p, out))
+    kind = lambda h, p: next((k for k, r in sorted(urls.RULES, key=lambda r: -len(r[1])) if ("." + h).endswith("." + r.partition("/")[0]) and p.startswith("/" + r.partition("/")[2])), None)
+    crawled = {h for *_, h, _, _ in rows}
+    links = {(h, x, y) for *_, h, _, out in rows for x, y in out if x != h}
+    pages = [(h, kind(h, p)) for *_, h, p, _ in rows] + [(x, kind(x, y)) for x, y in {(x, y) for _, x, y in links if x not in crawled}]
+    names = sorted({h for h, _ in pages})
+    at = {h: i for i, h in enumerate(names)}
+    flow = np.zeros((len(names), len(names)))
+    for a, b in {(a, b) for a, b, _ in links}:
+        flow[at[a], at[b]] = 1
+    scores = {}
+    for what, m in (("allow", flow), ("block", flow.T)):
+        seed = np.array([np.mean([k == what for h, k in pages if h == name]) for name in names])
+        share = m / np.maximum(m.sum(axis=1, keepdims=True), 1)
+        scores[what] = np.linalg.solve(np.eye(len(names)) - 0.5 * share.T, 0.5 * seed / seed.sum()) * seed.sum() / 0.5
+    got = urls.filter_urls(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string"), damping=0.5, tolerance=1e-6).collect()
+    verdicts = set()
+    for r in got:
+        _, _, _, h, p, _ = rows[r.page_id]
+        trust, distrust = scores["allow"][at[h]], scores["block"][at[h]]
+        assert r.trust == pytest.approx(trust, abs=1e-4) and r.distrust == pytest.approx(distrust, abs=1e-4)
+        want = kind(h, p) or ("block" if distrust >= 0.5 and distrust > trust else "allow")
+        assert r.verdict == want
+        verdicts.add((r.rule is None, want))
+    assert len(got) == 120 and len(verdicts) == 4
+
+
 # HTML.
 
 PAGE = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a href='/'>menu</a></nav>{extra}<article><h1>Head &amp; more</h1><p>One\n two<p><b>three<br>four</article>{after}<footer>&copy; foot</footer></body></html>"
@@ -514,6 +549,7 @@ def test_topk(spark):
 
 
 def test_topk_prunes_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BOUNDS", 60)  # three queries at a time
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(20, 16)) * 9
     x = np.floor(64 * (centres.repeat(100, axis=0) + rng.normal(size=(2000, 16)) * 0.1)).astype(np.int64)
