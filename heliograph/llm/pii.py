@@ -99,7 +99,7 @@ def list_vote(kind: str, value: Column) -> Column:
     """Top-level domains, private and local address ranges, first digits of card issuers, calling codes."""
     number = digits(value)
     if kind == "email":
-        return F.when(F.rlike(value, F.lit(r"(?i)(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info)$")), 1).otherwise(0)
+        return F.when(F.rlike(value, F.lit(r"(?i)(?:\.|[)\]]\x20?)(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info)$")), 1).otherwise(0)
     if kind == "ip":
         return F.when(F.rlike(value, F.lit(r"^(?:0|127|255)\.")), -1).otherwise(F.when(F.rlike(value, F.lit(r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])\.")), 1).otherwise(0))
     if kind == "card":
@@ -136,9 +136,15 @@ def votes(kind: str, span: Column) -> list[Column]:
     return [form_vote(kind, span["value"]), list_vote(kind, span["value"]), near_vote(kind, before)]
 
 
+def with_votes(found: DataFrame) -> DataFrame:
+    """Each candidate with its votes instead of its text."""
+    entry = lambda k: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), *(v.cast("int").alias(c) for v, c in zip(votes(k, x), LABELERS, strict=True)))
+    return found.withColumns({f"_pii_{c}_{k}": F.transform(f"_pii_{c}_{k}", entry(k)) for c in "bw" for k in KINDS})
+
+
 def vote_counts(found: DataFrame) -> DataFrame:
     """kind, v_form, v_list, v_near, n over the candidates of all documents."""
-    entry = lambda k: lambda x: F.struct(F.lit(k).alias("kind"), *(v.cast("int").alias(c) for v, c in zip(votes(k, x), LABELERS, strict=True)))
+    entry = lambda k: lambda x: F.struct(F.lit(k).alias("kind"), *(x[c].alias(c) for c in LABELERS))
     every = F.concat(*(F.transform(f"_pii_{c}_{k}", entry(k)) for c in "bw" for k in KINDS))
     return found.select(F.explode(every).alias("c")).select("c.*").groupBy("kind", *LABELERS).agg(F.count(F.lit(1)).alias("n"))
 
@@ -172,23 +178,25 @@ def fitted(counts: DataFrame) -> dict[str, list[float]]:
     return {r["kind"]: [r[f"w{i}"] for i in range(4)] for r in rows.groupBy("kind").agg(*(F.max(f"w{i}").alias(f"w{i}") for i in range(4))).collect()}
 
 
-def find_personal_data(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with pii_base and pii_spans: array<struct<kind, start, end>> by kind, then start."""
+def find_personal_data(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep_text: bool = True) -> DataFrame:
+    """``docs`` with pii_base and pii_spans: array<struct<kind, start, end>> by kind, then start. Texts are searched once: what is found
+    there is saved beside the other columns (without the text itself unless ``keep_text``), then judged by what the model has learnt."""
     docs = docs.drop("pii_base", "pii_spans")
-    found = with_spans(docs, text)
+    found = with_votes(with_spans(docs, text)).drop("_pii_text", *([] if keep_text else [text]))
+    found = saved(found, "pii-candidates")
     weights = fitted(vote_counts(found))
 
     def kept(kind):
         if kind not in weights:
             return F.filter(f"_pii_w_{kind}", lambda x: F.lit(False))
         w = weights[kind]
-        score = lambda x: sum((w[i + 1] * v for i, v in enumerate(votes(kind, x))), F.lit(w[0]))
+        score = lambda x: sum((w[i + 1] * x[v] for i, v in enumerate(LABELERS)), F.lit(w[0]))
         return F.filter(f"_pii_w_{kind}", lambda x: 1 / (1 + F.exp(-score(x))) >= threshold)
 
     mark = lambda k: lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
     base = F.concat(*(F.transform(f"_pii_b_{k}", mark(k)) for k in KINDS))
     every = F.concat(*(F.transform(F.array_sort(F.concat(F.col(f"_pii_b_{k}"), kept(k))), mark(k)) for k in KINDS))
-    return found.withColumn("pii_base", base).withColumn("pii_spans", every).drop("_pii_text", *(f"_pii_{c}_{k}" for c in "bw" for k in KINDS))
+    return found.withColumn("pii_base", base).withColumn("pii_spans", every).drop(*(f"_pii_{c}_{k}" for c in "bw" for k in KINDS))
 
 
 def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -208,7 +216,7 @@ def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
 
 def op2_personal_data(spark, sf_dir):
-    rows = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("pii_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return rows.select("doc_id", *map(count, KINDS), F.sha2(joined("pii_base").cast("binary"), 256).alias("base_sha256"), joined("pii_spans").alias("spans"))
