@@ -8,8 +8,8 @@ Archives go to the shared folder, one file per task attempt. A table of the file
 committed, also in the shared folder, says which are read, so a lost executor or a second attempt leaves nothing double.
 
 Defined results: a null html is an empty payload; a null url is an empty target; a null id sorts below all others and is read
-back as null; rows that share the largest id of their group are all responses; an empty table writes no file and
-gives an empty result. Further columns of the input are left out.
+back as null; rows that share the largest id of their group are all responses; a very long payload is one record, which a task
+holds whole; an empty table writes no file and gives an empty result. Further columns of the input are left out, so their names can't clash.
 """
 
 from __future__ import annotations
