@@ -49,6 +49,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def gathered(parts, name: str) -> DataFrame:
+    """The rows of some tables of one schema, one at least, written one after another to one saved table."""
+    path = None
+    for df in parts:
+        path = path or shared_path(df.sparkSession, name)
+        df.write.mode("append").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a saved table that nothing reads any more."""
     path = getattr(df, "saved_path", None)

@@ -3,10 +3,11 @@
 A text and a benchmark item that share a seed (``least`` consecutive words) are compared by running Karp-Rabin greedy
 string tiling: matches of at least the search length are found by rolling hashes over words that are not marked yet, the
 longest are marked first as tiles that overlap no other, and the search length falls until ``least``. The share of the
-item's words that tiles cover decides, so a passage counts as well when its pieces were moved around.
+item's words that tiles cover decides, so a passage counts as well when its pieces were moved around. Where a tile covers part of
+a match, what it leaves is a match of its own.
 
 Words are runs of letters and digits, lower-cased. The benchmark is dealt with in blocks of bounded size, each broadcast
-and run against all texts; nothing else is moved.
+and run against all texts; with several, what a block gives is written and its broadcast goes before the next one is made.
 
 Defined results: a null or empty text or item covers nothing; an item shorter than ``least`` words is sought whole; a
 repeated item id is an item of its own per row, and a pair is reported once with its highest coverage; repeated
@@ -18,6 +19,7 @@ one more pass over the documents.
 
 from __future__ import annotations
 
+import heapq
 import re
 
 import numpy as np
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, long_window_hashes, table
+from .common import WordHasher, discard, gathered, long_window_hashes, saved, table
 
 WORD = re.compile(r"\w+")
 #: Bytes of benchmark text in one block.
@@ -78,12 +80,18 @@ def tile(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int,
         if found and found[0][0] > 2 * n:
             n = found[0][0]
             continue
-        for m, i, j in found:
-            if free_a[i : i + m].all() and free_b[j : j + m].all():
-                free_a[i : i + m] = free_b[j : j + m] = False
-                tiles.append((m, i, j))
-        if found:
-            continue  # what a marked tile cut short may still be as long as the search length
+        heapq.heapify(heap := [(-m, i, j) for m, i, j in found])
+        while heap:
+            m, i, j = heapq.heappop(heap)
+            taken = np.flatnonzero(~(free_a[i : i - m] & free_b[j : j - m]))
+            if not len(taken):
+                free_a[i : i - m] = free_b[j : j - m] = False
+                tiles.append((-m, i, j))
+                continue
+            ends = np.concatenate([[-1], taken, [-m]])  # what the tiles marked before leave of it waits for its turn
+            for at, size in zip((ends[:-1] + 1).tolist(), (np.diff(ends) - 1).tolist(), strict=True):
+                if size >= n:
+                    heapq.heappush(heap, (-size, i + at, j + at))
         if n <= least:
             return tiles
         n = max(least, n // 2)
@@ -132,44 +140,55 @@ class Index:
         return out
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, least: int):
-    """Indexes of the benchmark, block by block."""
-    rows = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).filter("text is not null")
-    size = rows.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
-    n = -(-size // BLOCK_BYTES)
-    for k in range(n):
-        own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield Index([(r["item_id"], r["text"]) for r in own.collect()], least)
+class Blocks:
+    """The benchmark cut by hash into ``n`` blocks of about BLOCK_BYTES of text; iterating gives their indexes."""
+
+    def __init__(self, benchmark: DataFrame, item_id: str, text: str, least: int):
+        self.least = least
+        self.rows = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).filter("text is not null")
+        self.n = -(-(self.rows.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0) // BLOCK_BYTES)
+
+    def __iter__(self):
+        for k in range(self.n):
+            own = self.rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n)) == k) if self.n > 1 else self.rows
+            yield Index([(r["item_id"], r["text"]) for r in own.collect()], self.least)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, coverage, n_tiles, longest of each pair that reaches the coverage."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kinds = dict(rows.dtypes)["doc_id"], dict(benchmark.dtypes)[item_id]
-    out = None
-    for index in blocks(benchmark, item_id, item_text, least):
-        sent = rows.sparkSession.sparkContext.broadcast(index)
-
-        def task(batches, sent=sent):
-            hasher, index = WordHasher(), sent.value
-            for b in batches:
-                ids, got = b.column("doc_id").to_pylist(), []
-                for i, t in enumerate(b.column("text").to_pylist()):
-                    got += [(ids[i], *f) for f in index.found(hashed(t, hasher)) if f[1] >= coverage]
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], b.schema.field("doc_id").type), *(pa.array([g[k] for g in got]) for k in range(1, 5))], names=["doc_id", "item_id", "coverage", "n_tiles", "longest"])
-
-        part = rows.mapInArrow(task, f"doc_id {kinds[0]}, item_id {kinds[1]}, coverage double, n_tiles long, longest long")
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        return rows.sparkSession.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, coverage double, n_tiles long, longest long")
+    found = f"doc_id {kinds[0]}, item_id {kinds[1]}, coverage double, n_tiles long, longest long"
+    cut = Blocks(benchmark, item_id, item_text, least)
+
+    def parts():
+        for index in cut:
+            sent = rows.sparkSession.sparkContext.broadcast(index)
+
+            def task(batches, sent=sent):
+                hasher, index = WordHasher(), sent.value
+                for b in batches:
+                    ids, got = b.column("doc_id").to_pylist(), []
+                    for i, t in enumerate(b.column("text").to_pylist()):
+                        got += [(ids[i], *f) for f in index.found(hashed(t, hasher)) if f[1] >= coverage]
+                    if got:
+                        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], b.schema.field("doc_id").type), *(pa.array([g[k] for g in got]) for k in range(1, 5))], names=["doc_id", "item_id", "coverage", "n_tiles", "longest"])
+
+            yield rows.mapInArrow(task, found)
+            if cut.n > 1:
+                sent.destroy()
+
+    if not cut.n:
+        return rows.sparkSession.createDataFrame([], found)
+    out = gathered(parts(), "contamination-found") if cut.n > 1 else next(parts())
     best = F.max_by(F.struct("coverage", "n_tiles", "longest"), F.struct("coverage", "n_tiles", "longest")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` that no item of the benchmark contaminates."""
-    for index in blocks(benchmark, item_id, item_text, least):
+    cut = Blocks(benchmark, item_id, item_text, least)
+    for k, index in enumerate(cut):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def task(batches, sent=sent):
@@ -178,7 +197,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
                 good = [all(f[1] < coverage for f in index.found(hashed(t, hasher))) for t in b.column(text).to_pylist()]
                 yield b.filter(pa.array(good, pa.bool_()))
 
-        docs = docs.mapInArrow(task, docs.schema)
+        left = docs.mapInArrow(task, docs.schema)
+        if cut.n > 1:  # each pass is written, so that one block at a time is held
+            left = saved(left, "contamination-left")
+            sent.destroy()
+            if k:
+                discard(docs)
+        docs = left
     return docs
 
 

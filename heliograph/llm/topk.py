@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import gathered, saved, table
 
 BLOCK = 256
 #: Components of one group of queries; 8 bytes each.
@@ -119,33 +119,36 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
     asked = saved(quantised(queries, vec_id, embedding, scale), "topk-queries")
     size = asked.agg(F.sum(F.size("q") + 1).alias("n")).first()["n"] or 0
     groups = max(1, -(-size // GROUP_VALUES))
-    parts = []
-    for g in range(groups):
-        own = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g) if groups > 1 else asked
-        held: dict[int, list] = {}
-        got = own.toArrow()  # one group: about GROUP_VALUES values
-        for d, (at, m) in matrix(got.column("q").combine_chunks()).items() if got.num_rows else ():
-            held[d] = [got.column("vec_id").to_numpy()[at], m]
-        sent = sc.broadcast(held)
-
-        def task(batches, sent=sent, k=k, block=block):
-            mine: dict[int, list] = {}
-            for b in batches:
-                for d, (at, m) in matrix(b.column("q")).items() if b.num_rows else ():
-                    mine.setdefault(d, []).append((b.column("vec_id").to_numpy()[at], m))
-            for d, got in mine.items():
-                if d in sent.value and d:
-                    q_ids, q = sent.value[d]
-                    a, b, s, _ = search(q_ids, q, np.concatenate([i for i, _ in got]), np.concatenate([m for _, m in got]), k, block)
-                    for lo in range(0, len(a), 65536):
-                        yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + 65536], pa.int64()) for v in (a, b, s)], names=["query_id", "vec_id", "score"])
-
-        parts.append(rows.mapInArrow(task, _OUT))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def parts():
+        for g in range(groups):
+            own = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g) if groups > 1 else asked
+            held: dict[int, list] = {}
+            got = own.toArrow()  # one group: about GROUP_VALUES values
+            for d, (at, m) in matrix(got.column("q").combine_chunks()).items() if got.num_rows else ():
+                held[d] = [got.column("vec_id").to_numpy()[at], m]
+            sent = sc.broadcast(held)
+
+            def task(batches, sent=sent, k=k, block=block):
+                mine: dict[int, list] = {}
+                for b in batches:
+                    for d, (at, m) in matrix(b.column("q")).items() if b.num_rows else ():
+                        mine.setdefault(d, []).append((b.column("vec_id").to_numpy()[at], m))
+                for d, got in mine.items():
+                    if d in sent.value and d:
+                        q_ids, q = sent.value[d]
+                        a, b, s, _ = search(q_ids, q, np.concatenate([i for i, _ in got]), np.concatenate([m for _, m in got]), k, block)
+                        for lo in range(0, len(a), 65536):
+                            yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + 65536], pa.int64()) for v in (a, b, s)], names=["query_id", "vec_id", "score"])
+
+            found = rows.mapInArrow(task, _OUT)
+            yield found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            if groups > 1:
+                sent.destroy()
+
+    # A query's rows are all in its group; of several groups, each is written and its broadcast goes before the next one is made.
+    return gathered(parts(), "topk-found") if groups > 1 else next(parts())
 
 
 def op10_topk(spark, sf_dir):

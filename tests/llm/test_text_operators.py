@@ -452,6 +452,61 @@ def test_tiling_takes_the_longest_first():
     assert contamination.tile(a[:1], a[:1], 1) == [(1, 0, 0)]
 
 
+def brute_tiles(item, text, least):
+    """Greedy string tiling as it is defined: of all matches of unmarked words the longest is marked, the first in the item, then in the text."""
+    item, text, tiles = list(item), list(text), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(text)):
+                m = 0
+                while i + m < len(item) and j + m < len(text) and item[i + m] is not None and item[i + m] == text[j + m]:
+                    m += 1
+                if m > best[0]:
+                    best = m, i, j
+        m, i, j = best
+        if not m or m < least:
+            return tiles
+        tiles.append(best)
+        item[i : i + m] = text[j : j + m] = [None] * m
+
+
+def test_tiles_against_brute_force():
+    rng = random.Random(12)
+    for _ in range(150):
+        a, b = ([rng.randrange(rng.choice((3, 8))) for _ in range(rng.randint(1, 45))] for _ in range(2))
+        b += a[: rng.randint(0, len(a))] + a[rng.randint(0, len(a)) :]
+        got = contamination.tile(np.array(a, np.uint64), np.array(b, np.uint64), 3)
+        assert sorted(got) == sorted(brute_tiles(a, b, 3))
+
+
+@pytest.mark.parametrize("size", [contamination.BLOCK_BYTES, 600])
+def test_decontamination_against_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(contamination, "BLOCK_BYTES", size)
+    rng = random.Random(6)
+    wide = [f"{a}{b}" for a in WORDS[:6] for b in WORDS[:6]]
+    items = [(i, text_of(rng, rng.randint(3, 40), wide)) for i in range(12)]
+    rows = []
+    for d in range(60):
+        ws = text_of(rng, rng.randint(0, 40), wide).split()
+        for _ in range(rng.randint(0, 5)):
+            own = rng.choice(items)[1].split()
+            cut = rng.randrange(len(own))
+            at = rng.randint(0, len(ws))
+            ws[at:at] = own[cut : cut + rng.randint(1, 25)]
+        rows.append((d, " ".join(ws)))
+    want = {}
+    for d, t in rows:
+        for i, x in items:
+            item = x.split()
+            tiles = brute_tiles(item, t.split(), min(5, len(item)))
+            if 2 * sum(m for m, _, _ in tiles) >= len(item):
+                want[d, i] = round(sum(m for m, _, _ in tiles) / len(item), 6), len(tiles), max(m for m, _, _ in tiles)
+    docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): (round(r.coverage, 6), r.n_tiles, r.longest) for r in contamination.contaminated(docs, bench).collect()} == want
+    assert len(want) > 10 and sorted(r.doc_id for r in contamination.clean(docs, bench).collect()) == sorted({d for d, _ in rows} - {d for d, _ in want})
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(contamination, "BLOCK_BYTES", 40)
     items = spark.createDataFrame([(i, f"w{i}a w{i}b w{i}c w{i}d w{i}e") for i in range(6)], "item_id long, text string")
