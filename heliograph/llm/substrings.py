@@ -5,8 +5,8 @@ before frequent ones), so equal windows have equal anchors in equal places, and
 anchor form a run whose words are a region. Anchors that occur once need nothing more. Equal regions are one class:
 in all but its least document the whole run is removed. Where an anchor has several classes, one region of each goes to
 the anchor's shard. A shard is a compressed FM-index (wavelet matrix over the Burrows-Wheeler transform, bit vectors
-packed with block ranks); each region's windows are searched backwards in it, and where the window's interval holds a
-smaller document, it is removed. Windows made of frequent n-grams alone lie inside the passage that many documents
+packed with block ranks); backward search in it gives the matching statistics of each region, how long a run that ends at a
+word also stands elsewhere, up to ``length``. Where they reach it and the interval holds a smaller document, the window is removed. Windows made of frequent n-grams alone lie inside the passage that many documents
 share; their regions are equal, so a passage of any frequency comes down to a few classes and no shard is hot.
 
 Defined results: texts of fewer than ``length`` words, empty or null lose nothing; a null id takes no part; what a document
@@ -86,6 +86,25 @@ class FmIndex:
         base = self.starts[symbol]
         return base + self.rank(symbol, lo), base + self.rank(symbol, hi)
 
+    def statistics(self, text: np.ndarray, ends: np.ndarray, most: int):
+        """Matching statistics of the indexed text with itself, by backward search from each place in ``ends``: the length, up to ``most``, of the
+        longest run of symbols before it that stands at another place too, and the interval of the suffixes that start with that run."""
+        ends = np.asarray(ends)
+        length, low, high = np.full(len(ends), most), np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
+        alive, lo, hi = np.arange(len(ends)), low.copy(), high.copy()
+        for k in range(most):
+            at = ends[alive] - 1 - k
+            symbol = text[at]  # at -1 that is the end, 0
+            new_lo, new_hi = self.step(symbol, lo, hi)
+            goes_on = (symbol > 0) & (new_hi - new_lo > 1)  # an interval of one holds nothing but the run itself
+            stops = alive[~goes_on]
+            length[stops], low[stops], high[stops] = k, lo[~goes_on], hi[~goes_on]
+            alive, lo, hi = alive[goes_on], new_lo[goes_on], new_hi[goes_on]
+            if not len(alive):
+                break
+        low[alive], high[alive] = lo, hi
+        return length, low, high
+
 
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Suffixes by their first ``depth`` symbols at least (ties by place), by doubling; and the classes of equal beginnings of the
@@ -119,14 +138,8 @@ def repeated_windows(regions: list[np.ndarray], docs: np.ndarray, length: int) -
     at = begin[owner] + local
     twice = np.bincount(alike) > 1  # a window whose first or last words occur once needs no search
     alive = np.flatnonzero(twice[alike[at]] & twice[alike[at + length - min(reach, length)]])
-    lo, hi = np.zeros(len(alive), np.int64), np.full(len(alive), index.size, np.int64)
-    for k in range(length - 1, -1, -1):
-        # matching statistics of windows that end together only grow to the left; an interval of one holds nothing else
-        lo, hi = index.step(text[at[alive] + k], lo, hi)
-        many = hi - lo > 1
-        alive, lo, hi = alive[many], lo[many], hi[many]
-        if not len(alive):
-            break
+    reached, lo, hi = index.statistics(text, at[alive] + length, length)
+    alive, lo, hi = (x[reached == length] for x in (alive, lo, hi))
     out = [np.empty(0, np.int64)] * len(regions)
     if not len(alive):
         return out

@@ -569,6 +569,25 @@ def test_fm_index():
         assert set(order[lo[0] : hi[0]].tolist()) == want
 
 
+def test_matching_statistics():
+    """Against the definition: the longest run before a place that also stands at another place, within a text."""
+    rng = np.random.default_rng(8)
+    parts = [rng.integers(1, 4, k) for k in (7, 1, 40, 25, 33, 12)]
+    parts.append(parts[2][:20])
+    text = np.concatenate([np.append(p, 0) for p in parts])
+    order, _, _ = substrings.suffix_order(text, 64)
+    index = substrings.FmIndex(text, order)
+    ends = np.flatnonzero(text) + 1
+    length, lo, hi = index.statistics(text, ends, 12)
+    plain = text.tolist()
+    for e, n, a, b in zip(ends.tolist(), length.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        run = lambda k: plain[e - k : e]  # noqa: B023, E731
+        places = lambda k: {i for i in range(len(plain) - k + 1) if plain[i : i + k] == run(k)}  # noqa: B023, E731
+        assert n == max(k for k in range(min(e, 12) + 1) if k == 0 or 0 not in run(k) and len(places(k)) > 1)
+        assert n == 0 or set(order[a:b].tolist()) == places(n)
+    assert {0 < n < 12 for n in length.tolist()} == {True, False} and length.max() == 12
+
+
 # Toxicity.
 
 
