@@ -1,4 +1,4 @@
-"""A file handle over the operators: typed columns, images and keys by HDU. It holds a path, never the bytes."""
+"""A file handle over the operators: typed columns, images and keys by HDU. It holds a path and the headers, never the data."""
 
 from __future__ import annotations
 
@@ -23,20 +23,28 @@ class FitsHandle:
         if not files.exists(path):
             raise FileNotFoundError(path)
         self.spark, self.path = spark, path
+        self._stamp, self._hdus = None, []
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, overwrite: bool = False) -> FitsHandle:
         edit.create(path, overwrite)
         return cls(spark, path)
 
+    def hdus(self) -> list[Hdu]:
+        """All HDUs, read again only when the file has changed, by this handle or another."""
+        stamp = files.stamp(self.path)
+        if stamp != self._stamp:
+            self._stamp, self._hdus = stamp, read_hdus(self.path)
+        return self._hdus
+
     def __len__(self) -> int:
-        return len(read_hdus(self.path))
+        return len(self.hdus())
 
     def __iter__(self):
-        return (HduHandle(self, h) for h in read_hdus(self.path))
+        return (HduHandle(self, h) for h in self.hdus())
 
     def hdu(self, which) -> HduHandle:
-        return HduHandle(self, choose(read_hdus(self.path), which))
+        return HduHandle(self, choose(self.hdus(), which))
 
     def primary(self) -> HduHandle:
         return self.hdu(0)
@@ -74,7 +82,7 @@ class HduHandle:
 
     def write_key(self, keyword: str, value: int | float | bool | str | complex | ComplexInt, comment: str | None = None) -> None:
         edit.upsert_key(self.file.path, self.hdu.index, keyword, value, comment)
-        self.hdu = read_hdus(self.file.path)[self.hdu.index]
+        self.hdu = self.file.hdus()[self.hdu.index]
 
     # Tables.
 
@@ -89,7 +97,7 @@ class HduHandle:
 
     def write_col(self, name: str, values: DataFrame) -> None:
         edit.update_column(self.file.spark, self.file.path, self.hdu.index, name, values)
-        self.hdu = read_hdus(self.file.path)[self.hdu.index]
+        self.hdu = self.file.hdus()[self.hdu.index]
 
     # Images.
 

@@ -44,6 +44,17 @@ def size(path: str) -> int:
     return system.get_file_info(name).size
 
 
+def stamp(path: str) -> tuple:
+    """Size and time of the last change: what was read of a file holds while they are the same."""
+    at = local(path)
+    if at is not None:
+        info = os.stat(at)
+        return info.st_ino, info.st_size, info.st_mtime_ns
+    system, name = _remote(path)
+    info = system.get_file_info(name)
+    return info.size, info.mtime_ns
+
+
 def exists(path: str) -> bool:
     at = local(path)
     if at is not None:

@@ -229,6 +229,23 @@ def test_edits(spark, tmp_path):
         choose(read_hdus(path), "NONE")
 
 
+def test_headers_are_read_once(spark, tmp_path, monkeypatch):
+    from heliograph.operators import handle
+
+    calls = []
+    monkeypatch.setattr(handle, "read_hdus", lambda path: calls.append(path) or read_hdus(path))
+    path = image_file(f"{tmp_path}/a.fits", range(6), 16, [3, 2])
+    h = FitsHandle(spark, path)
+    assert len(h) == 2 and [x.hdu.kind for x in h] == ["primary", "image"] and h.primary().info()["shape"] == [] and len(calls) == 1
+    h.hdu("I").write_key("A", 1)
+    assert h.hdu("I").read_key("A", int) == 1 and len(calls) == 2
+    other = FitsHandle(spark, path)
+    other.hdu("I").write_key("A", 2)  # seen by the first handle
+    assert h.hdu("I").read_key("A", int) == 2
+    image_file(path, range(4), 16, [2, 2])
+    assert h.hdu(1).info()["shape"] == [2, 2]
+
+
 def test_catalog_and_text(spark, tmp_path):
     path = image_file(f"{tmp_path}/a.fits", range(6), 16, [3, 2])
     got = {r.hdu_index: r for r in catalog.catalog(spark, path).collect()}
