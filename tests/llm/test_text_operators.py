@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -62,12 +63,9 @@ def test_words_agree():
 # Mixing.
 
 
-def test_mixing(spark, corpus):
-    rows = {(r.doc_id, r.mix_size, r.mix_source_size, r.mix_target, r.mix_copies, r.source) for r in mixing.with_copies(frame(spark, corpus)).collect()}
-    sizes = {}
-    for _, t, _, s, _ in corpus:
-        sizes[s] = sizes.get(s, 0) + len(split(t))
-    total, weight = sum(sizes.values()), {s: 1 + i % 3 for i, s in enumerate(sorted(sizes))}
+def brute_targets(sizes):
+    """Shares by weight; what is above three times a source goes to the others, until none is."""
+    total, weight = sum(sizes.values()), {s: 1 + i % 3 for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
     target, free = {}, set(sizes)
     while True:
         rest = total - sum(target.values())
@@ -78,6 +76,15 @@ def test_mixing(spark, corpus):
             break
         target |= {s: 3 * sizes[s] for s in over}
         free -= over
+    return target
+
+
+def test_mixing(spark, corpus):
+    rows = {(r.doc_id, r.mix_size, r.mix_source_size, r.mix_target, r.mix_copies, r.source) for r in mixing.with_copies(frame(spark, corpus)).collect()}
+    sizes = {}
+    for _, t, _, s, _ in corpus:
+        sizes[s] = sizes.get(s, 0) + len(split(t))
+    total, target = sum(sizes.values()), brute_targets(sizes)
     for _, size, whole, goal, copies, s in rows:
         assert whole == sizes[s] and goal == pytest.approx(target[s])
         rate = goal / whole
@@ -620,20 +627,18 @@ def test_toxicity(spark):
     assert again == by
 
 
-def test_toxicity_against_dense_training(spark):
-    """The same risk over a plain matrix of all texts outside the held-out fold, without slices, sampling or pruning of words."""
+def dense_scores(rows, labels):
+    """Scores of (id, text) by the same risk over a plain matrix of all texts outside the held-out fold, without slices, sampling or pruning of words;
+    and in how many steps the negative risk was below 0."""
     import zlib
 
-    rng = random.Random(10)
-    rows = [(i, text_of(rng, rng.randint(0, 12), [*WORDS, *(["vile", "rot"] if i % 4 == 0 else [])])) for i in range(90)]
-    labels = [(i, 1, int(i % 4 == 0)) for i in range(90) if i % 3]
     seen = {i: zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows}
-    has = [{f for w in toxicity.text_words(t) for f in toxicity.word_features(w)} for _, t in rows]
+    has = {i: {f for w in toxicity.text_words(t) for f in toxicity.word_features(w)} for i, t in rows}
     p, u = [has[i] for i, _, bad in labels if bad and seen[i]], [has[i] for i, _ in rows if seen[i]]
-    often = {f: sum(f in x for x in p + u) for x in has for f in x}
+    often = Counter(f for x in p + u for f in x)
     kept = sorted(f for f, n in often.items() if n >= 3)
     matrix = lambda sets: np.array([[*(float(f in x) for f in kept), 1.0] for x in sets])
-    mp, mu, everything = matrix(p), matrix(u), matrix(has)
+    mp, mu, everything = matrix(p), matrix(u), matrix(has.values())
     prior = np.mean([bad for i, _, bad in labels if seen[i]])
     w, m, v, below = np.append(np.zeros(len(kept)), np.log(prior / (1 - prior))), 0, 0, 0
     for t in range(1, 201):
@@ -646,7 +651,14 @@ def test_toxicity_against_dense_training(spark):
         step = 0.05 / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
         w = w - step * m / (1 - 0.9**t)
         w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - 2e-4 * step[:-1], 0)
-    want = 1 / (1 + np.exp(-everything @ w))
+    return dict(zip(has, 1 / (1 + np.exp(-everything @ w)), strict=True)), below
+
+
+def test_toxicity_against_dense_training(spark):
+    rng = random.Random(10)
+    rows = [(i, text_of(rng, rng.randint(0, 12), [*WORDS, *(["vile", "rot"] if i % 4 == 0 else [])])) for i in range(90)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(90) if i % 3]
+    want, below = dense_scores(rows, labels)
     got = toxicity.scored(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     assert below and max(abs(r.tox_score - want[r.doc_id]) for r in got) < 1e-6
 
