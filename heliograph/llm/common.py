@@ -69,6 +69,39 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Cells of a map of keys (a power of two, 64 at least): a bit each, in a broadcast of an eighth of so many bytes.
+MAP_CELLS = 1 << 25
+
+
+def marked(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column ``name``: false only where ``key`` is null or not among ``keys`` (one column of the same type). Others are told by
+    the key's hash, so some are true as well; a join says which, and has only the true ones to move. The driver gets MAP_CELLS / 64 numbers at most."""
+    import pyarrow as pa
+    from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+
+    cells = MAP_CELLS
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(cells))
+    own = keys.select(cell(F.col(keys.columns[0])).alias("c"))
+    bits = own.groupBy(F.shiftright("c", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("c", F.lit(64)).cast("int"))).alias("bits")).toArrow()
+    told = np.zeros(cells // 64, np.uint64)
+    told[bits.column("at").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
+    sent = df.sparkSession.sparkContext.broadcast(told)
+
+    def task(batches):
+        told = sent.value
+        for b in batches:
+            c = b.column(b.num_columns - 1)
+            at = c.fill_null(0).to_numpy().astype(np.uint64)
+            hit = (told[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            hit &= c.is_valid().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hit)], names=b.schema.names[:-1] + [name])
+
+    asked = df.withColumn(name, F.when(key.isNotNull(), cell(key)))
+    schema = StructType([*df.schema.fields, StructField(name, BooleanType())])
+    assert asked.schema[name].dataType == LongType()
+    return asked.mapInArrow(task, schema)
+
+
 def aside(docs: DataFrame, *names: str):
     """``docs`` with its columns of these names renamed, and a function that gives them their names back."""
     taken = [c for c in docs.columns if c.lower() in names]

@@ -6,8 +6,10 @@ set. Classes are brought together in families, then each family is searched for
 Families: sets that can link share an n-gram among the first of each (its head; n-grams in a common order, frequent ones
 last), so heads are grouped by n-gram. A group of up to GROUP sets gives its pairs, and their common head n-grams are counted:
 of two heads, the one that ends first in the common order has every common n-gram up to its end in both, so the overlap is
-at most that count and what follows this head. Pairs that can still reach their overlap are edges. A larger group is joined to one
-of its sets instead, so two sets that share such an n-gram are in one family whatever their count. Components of all edges are the families.
+at most that count and what follows this head; it is also at most that count and what either set has behind their last common one. Pairs
+that can still reach their overlap are edges. A larger group is joined to one of its sets instead, so two sets that share such an n-gram are
+in one family whatever their count. Components of all edges are the families. Large families are told once more, from heads in an order
+that has the n-grams of larger groups last: sets that such a passage alone brought together come apart.
 
 Links: a family's sets are indexed by inverted lists over their n-grams, and each set is a query: the longest lists are set
 aside (DivideSkip), the short ones merged on a heap with skips, what they leave is probed in the long lists by bisection, and
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import discard, saved, table
+from .common import marked, saved, table
 from .components import components
 from .shingles import Counter, most_frequent, shingle_sets, weights
 
@@ -46,6 +48,8 @@ N, PERCENT = 5, 75
 NAMED = 3
 #: Sets of a group of which all pairs are counted.
 GROUP = 128
+#: Parts of a head that the place of an n-gram is told by.
+LEVELS = 16
 #: Rows of the grouped heads that are looked at together.
 ROWS = 200_000
 #: Fixed-width rows (some 100 bytes each in memory) to a broadcast.
@@ -215,7 +219,8 @@ def surveyed(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
 
 
 def heads(docs: DataFrame, text: str, n: int, percent: int, listed) -> DataFrame:
-    """gram, sig, n: the first n-grams of each set, in the common order. Equal sets within a task are given once."""
+    """gram, sig, size: the first n-grams of each set, in the common order; size is LEVELS times its number of n-grams, and the part of the
+    head that this one is in, which compresses better than its place. Equal sets within a task are given once."""
     sent = docs.sparkSession.sparkContext.broadcast(listed)  # bounded by the list's length
 
     def task(batches):
@@ -240,32 +245,45 @@ def heads(docs: DataFrame, text: str, n: int, percent: int, listed) -> DataFrame
 
     def rows(out):
         k = [len(x[0]) for x in out]
-        columns = np.concatenate([x[0] for x in out]).view(np.int64), np.repeat(np.array([x[1] for x in out], np.int64), k), np.repeat(np.array([x[2] for x in out], np.int32), k)
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["gram", "sig", "n"])
+        size = np.concatenate([x[2] * LEVELS + np.arange(m) * LEVELS // m for x, m in zip(out, k, strict=True)])
+        columns = np.concatenate([x[0] for x in out]).view(np.int64), np.repeat(np.array([x[1] for x in out], np.int64), k), size
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["gram", "sig", "size"])
 
-    return docs.select(text).mapInArrow(task, "gram long, sig long, n int")
+    return docs.select(text).mapInArrow(task, "gram long, sig long, size long")
+
+
+def lacking(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """How many common n-grams of heads two sets need, as far as one of them tells (sizes as heads() gives them, there)."""
+
+    def rest(n, part):  # behind the first of that part
+        return n - 1 - ceil_div(part * (n - least_overlap(n, percent) + 1), LEVELS)
+
+    (n, p), (m, q) = np.divmod(x, LEVELS), np.divmod(y, LEVELS)
+    after = np.maximum(least_overlap(n, percent), least_overlap(m, percent)) - 1
+    return np.maximum(pair_overlap(n, m, percent) - np.minimum(after, np.minimum(rest(n, p), rest(m, q))), 0)
 
 
 def meetings(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb), a < b: the pairs of sets whose sizes can link, once for each small group that they share; for larger groups each
-    set with one of the group, without sizes. Groups come in order and are streamed; of a large one a single row is held."""
+    """(a, b, lack), a < b: the pairs of sets whose sizes can link, once for each small group that they share, with what they lack there; for
+    larger groups each set with one of the group and -1. A large group's n-gram a and a number b of its sets come with -2. Groups come in
+    order and are streamed; of a large one a single row is held."""
     size, many = GROUP, ROWS
 
     def task(batches):
-        def given(a, b, na, nb):
-            turn = a > b
-            pair = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)
-            return pa.RecordBatch.from_arrays([*map(pa.array, pair)], names=["a", "b", "na", "nb"])
+        def given(a, b, lack, ordered=True):
+            turn = (a > b) & ordered
+            pair = np.where(turn, b, a), np.where(turn, a, b), lack.astype(np.int32)
+            return pa.RecordBatch.from_arrays([*map(pa.array, pair)], names=["a", "b", "lack"])
 
         def pairs(gram, sig, n):
             for d in range(1, size):  # rows that stand d apart
                 near = np.flatnonzero(gram[d:] == gram[:-d])
                 if not len(near):
                     return
-                x, y = n[near].astype(np.int64), n[near + d].astype(np.int64)
+                x, y = n[near] // LEVELS, n[near + d] // LEVELS
                 near = near[100 * np.minimum(x, y) >= percent * np.maximum(x, y)]
                 if len(near):
-                    yield given(sig[near], sig[near + d], n[near], n[near + d])
+                    yield given(sig[near], sig[near + d], lacking(n[near], n[near + d], percent))
 
         def looked_at(held, hot, last):
             """Gives what whole groups have; returns the rows that wait, and their n-gram if its group is known to be large."""
@@ -280,8 +298,8 @@ def meetings(rows: DataFrame, percent: int) -> DataFrame:
                 first = np.repeat(start, count)
                 far = np.flatnonzero(of & (first != np.arange(len(gram))))
                 if len(far):
-                    none = np.zeros(len(far), np.int32)
-                    yield given(sig[far], sig[first[far]], none, none)
+                    yield given(sig[far], sig[first[far]], np.full(len(far), -1))
+                yield given(gram[start[large]], count[large], np.full(int(large.sum()), -2), False)
             whole = (count > 1) & ~large
             waits = None
             if not last:
@@ -297,7 +315,7 @@ def meetings(rows: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append(tuple(b.column(c).to_numpy() for c in ("gram", "sig", "n")))
+            held.append(tuple(b.column(c).to_numpy() for c in ("gram", "sig", "size")))
             rows += b.num_rows
             if rows >= many:
                 kept, hot = yield from looked_at(held, hot, False)
@@ -305,15 +323,47 @@ def meetings(rows: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from looked_at(held, hot, True)
 
-    return rows.repartition("gram").sortWithinPartitions("gram", "sig").mapInArrow(task, "a long, b long, na int, nb int")
+    return rows.repartition("gram").sortWithinPartitions("gram", "sig").mapInArrow(task, "a long, b long, lack int")
 
 
 def related(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): edges between sets that can link, or that are in one large group; every link lies inside a component of these."""
-    overlap = F.ceil((percent * (F.col("na") + F.col("nb"))) / F.lit(100 + percent))
-    after = lambda n: F.ceil(percent * F.col(n) / F.lit(100)) - 1  # noqa: E731  n-grams of a set behind its head
-    counted = meetings(rows, percent).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("na").alias("na"), F.min("nb").alias("nb"))
-    return counted.filter((F.col("na") == 0) | (F.col("c") + F.greatest(after("na"), after("nb")) >= overlap)).select("a", "b")
+    """(a, b, large): edges between sets that can link, or that are in one large group; every link lies inside a component of these. Where
+    large, no edge but the n-gram of a large group, and how many sets it has."""
+    large = F.col("lack") == -2
+    counted = meetings(rows, percent).groupBy("a", F.when(~large, F.col("b")).alias("b"))
+    counted = counted.agg(F.count(F.lit(1)).alias("c"), F.min("lack").alias("least"), F.max("lack").alias("lack"), F.sum(F.when(large, F.col("b"))).alias("sets"))
+    return counted.filter((F.col("least") < 0) | (F.col("c") >= F.col("lack"))).select("a", F.coalesce("b", "sets").alias("b"), F.col("b").isNull().alias("large"))
+
+
+def with_list(listed, more):
+    """A list of n-grams and counts, and another one's: where both have an n-gram, its highest count."""
+    gram, count = (np.concatenate(x) for x in zip(listed, more, strict=True))
+    by = np.lexsort((-count, gram))
+    gram, count = gram[by], count[by]
+    new = np.append(True, gram[1:] != gram[:-1])[: len(gram)]
+    return gram[new], count[new]
+
+
+def families(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, percent: int, listed) -> DataFrame:
+    """family, sig, first_id, n of the classes (sig, first_id, n) that may have links; all links are inside a family."""
+
+    def told(docs, listed, of, name):
+        edges = saved(related(heads(docs, text, n, percent, listed), percent), f"{name}-edges")
+        found = components(edges.filter("not large"))
+        member = saved(of.join(found.select(F.col("v").alias("sig"), F.col("label").alias("family")), "sig"), name)
+        return member, edges.filter("large").select(F.col("a").alias("gram"), F.col("b").alias("n"))
+
+    member, hot = told(docs, listed, classes, "jaccard-member")
+    more = most_frequent(hot)
+    if not len(more[0]):
+        return member
+    large = saved(member.groupBy("family").agg(F.sum(F.col("n") + ROW_GRAMS).alias("total")).filter(F.col("total") > SLOT_GRAMS).select("family"), "jaccard-wide")
+    if large.isEmpty():
+        return member
+    own = saved(member.join(large, "family").select("sig", "first_id", "n"), "jaccard-again")
+    rows = marked(docs.select(F.col(doc_id).cast("long").alias(doc_id), text), F.col(doc_id), own.select("first_id"), "_met").filter("_met")
+    again, _ = told(rows, with_list(listed, more), own, "jaccard-apart")
+    return member.join(large, "family", "left_anti").unionByName(again)
 
 
 # Links.
@@ -362,7 +412,11 @@ def found_links(member: DataFrame, docs: DataFrame, doc_id: str, text: str, n: i
     text whose set is not that of its class (another row of the same id) is passed over."""
     needed = saved(placed(member, percent), "jaccard-needed")
     rows = docs.select(F.col(doc_id).cast("long").alias("first_id"), F.col(text).alias("text"))
-    texts = rows.join(F.broadcast(needed) if few(needed) else needed, "first_id").select("family", "i", "j", "slot", "sig", "text")
+    if few(needed):
+        rows = rows.join(F.broadcast(needed), "first_id")
+    else:  # texts that are in no family stay where they are
+        rows = marked(rows, F.col("first_id"), needed.select("first_id"), "_met").filter("_met").drop("_met").join(needed, "first_id")
+    texts = rows.select("family", "i", "j", "slot", "sig", "text")
 
     def task(batches):
         at, sides = None, {}
@@ -400,8 +454,7 @@ def labelled_sets(docs: DataFrame, doc_id: str, text: str, n: int, percent: int)
     listed = most_frequent(survey.filter("gram is not null").select("gram", "n"))
     known = docs.filter(F.col(doc_id).isNotNull())
     classes = saved(sized.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n")), "jaccard-classes")
-    families = components(related(heads(known, text, n, percent, listed), percent))
-    member = saved(classes.join(families.select(F.col("v").alias("sig"), F.col("label").alias("family")), "sig"), "jaccard-member")
+    member = saved(families(classes, known, doc_id, text, n, percent, listed), "jaccard-families")
     found = saved(found_links(member, known, doc_id, text, n, percent), "jaccard-links")
     degree = found.groupBy(F.col("sig").alias("s")).agg(F.sum("n_links").alias("n_links"))
     labels = components(found.select(F.col("sig").alias("a"), F.col("least").alias("b"))).withColumnRenamed("v", "sig")
@@ -424,7 +477,10 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     found = saved(labelled_sets(docs, doc_id, text, n, percent), "jaccard-found")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         gone = saved(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "jaccard-gone")
-        return docs.join(F.broadcast(gone) if few(gone) else gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+        if few(gone):
+            return docs.join(F.broadcast(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
+        rows = marked(docs, F.col(doc_id).cast("long"), gone, "_met")  # rows that certainly stay are not moved
+        return rows.filter("not _met").unionAll(rows.filter("_met").join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")).drop("_met")
     several = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     judged = found.filter("doc_id is not null").join(several, "doc_id").filter("rows > 1 or doc_id <> component_id")
     judged = saved(judged.select(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig"), F.col("label").alias("_label"), (F.col("doc_id") != F.col("component_id")).alias("_gone"), "rows").distinct(), "jaccard-judged")

@@ -418,6 +418,45 @@ def test_jaccard_random(spark):
     assert got == brute_components(rows)
 
 
+def test_jaccard_passage_makes_no_family(spark, monkeypatch):
+    """Texts that a passage in many of them brought together are searched with their links alone."""
+    monkeypatch.setattr(jaccard, "GROUP", 4)
+    monkeypatch.setattr(jaccard, "SLOT_GRAMS", 2000)
+    searched = []
+    monkeypatch.setattr(jaccard, "placed", lambda member, percent, old=jaccard.placed: searched.extend(member.collect()) or old(member, percent))
+    passage = " ".join(f"p{k}" for k in range(12))
+    own = [" ".join(f"w{i}x{k}" for k in range(80)) for i in range(30)]
+    rows = [(i, f"{t} {passage}") for i, t in enumerate(own)] + [(100 + i, f"{own[i]} {passage} end") for i in range(3)]
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.with_components(frame(spark, rows)).collect()}
+    assert got == {i: (i % 100, int(i % 100 < 3)) for i, _ in rows}
+    assert sorted(r.first_id for r in searched) == [0, 1, 2, 100, 101, 102]
+
+
+def test_jaccard_bound(spark):
+    """What pairs lack is never more than what linked sets have in common."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n, m = rng.integers(1, 60, 2)
+        least = jaccard.pair_overlap(n, m, 75)
+        if least > min(n, m):
+            continue
+        both = int(rng.integers(least, min(n, m) + 1))
+        places = [np.sort(rng.choice(k, both, replace=False)) for k in (n, m)]
+        heads = [k - jaccard.least_overlap(k, 75) + 1 for k in (n, m)]
+        met = [(x, y) for x, y in zip(*places, strict=True) if x < heads[0] and y < heads[1]]
+        sizes = [np.array([k * jaccard.LEVELS + at[i] * jaccard.LEVELS // h for at in met]) for i, (k, h) in enumerate(zip((n, m), heads, strict=True))]
+        assert met and jaccard.lacking(*sizes, 75).max() <= len(met)
+
+
+def test_only_rows_that_may_match_are_marked(spark):
+    from heliograph.llm.common import marked
+
+    df = spark.createDataFrame([(i if i else None, f"t{i}") for i in range(3000)], "k long, t string")
+    got = marked(df, F.col("k"), df.filter("k % 100 = 7").select("k"), "_met").collect()
+    hit = {r.k for r in got if r["_met"]}
+    assert len(got) == 3000 and {k for k in range(3000) if k % 100 == 7} <= hit and len(hit) < 60 and None not in hit
+
+
 def test_jaccard_odd(spark):
     df = frame(spark, [(None, "a b c d e f"), (None, None), (1, "a b c d e f"), (2, None)])
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.with_components(df).collect()), key=str)
