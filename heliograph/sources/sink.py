@@ -3,7 +3,8 @@
 Options of writing
   kind       table (default), ascii or image
   extname    EXTNAME of the HDU
-  tforms     "name=TFORM;name=TFORM" (for ascii tables as well); else by type, with arrays of variable length
+  tforms     "name=TFORM;name=TFORM" (for ascii tables as well); else by type, with arrays of variable length, whose descriptors
+             are 64-bit (Q) where the heap is too large for 32-bit ones
   strlen     bytes of text columns without a TFORM (default 64)
   scale      "name=TSCAL,TZERO;..." cards only: values are stored as they are
   bitpix, naxes   of an image; rows are row_index (its order) and data, an axis-1 line each
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 from ..functions.blocks import padded
 from ..functions.cards import Card, serialize
 from ..functions.errors import InvalidValue
-from . import files
+from . import codec, files
 from .codec import check_heap, encode, encode_ascii
 from .hdu import extension_cards, primary_cards
 from .schema import PIXELS, AsciiColumn, Column, default_tform, layout, parse_ascii_tform, row_dtype
@@ -58,6 +59,8 @@ class Target:
     primary: bool = False
     extra: list[Card] = field(default_factory=list)
     scale: dict[str, tuple[float, float]] = field(default_factory=dict)
+    #: Columns as segments have them: descriptors that no TFORM was given for are 64-bit until the size of the heap is known.
+    wide: list = field(default_factory=list)
 
     @classmethod
     def of(cls, options: dict, schema: T.StructType) -> Target:
@@ -83,7 +86,17 @@ class Target:
         scale = {n: tuple(map(float, v.split(","))) for n, v in (s.split("=", 1) for s in options.get("scale", "").split(";") if s)}
         for c, f in zip(columns, schema.fields, strict=True):
             c.tdim = (f.metadata or {}).get("tdim", [])
-        return cls(kind, columns, sum(c.width for c in columns), extra=extra, scale=scale)
+        free = {f.name for f in schema.fields if f.name not in forms and "tform" not in (f.metadata or {})}
+        wide = layout([(c.name, f"{c.repeat}Q{c.item}" if c.code == "P" and c.name in free else c.tform) for c in columns])
+        for c, w in zip(columns, wide, strict=True):
+            w.tdim = c.tdim
+        return cls(kind, columns, sum(c.width for c in columns), extra=extra, scale=scale, wide=wide)
+
+    def for_heap(self, size: int) -> Target:
+        """With the narrowest descriptors for a heap of so many bytes."""
+        if self.kind != "table" or size <= codec.P_HEAP:
+            return self
+        return replace(self, columns=self.wide, width=sum(c.width for c in self.wide))
 
     def cards(self, rows: int, heap: int) -> list[Card]:
         if self.kind == "image":
@@ -103,7 +116,7 @@ class Target:
 
     def encode(self, batch: pa.RecordBatch, heap_at: int) -> tuple[bytes, bytes]:
         if self.kind == "table":
-            return encode(list(batch.columns), self.columns, heap_at)
+            return encode(list(batch.columns), self.wide, heap_at)
         if self.kind == "ascii":
             return encode_ascii(list(batch.columns), self.columns, self.width), b""
         data = batch.column("data")
@@ -122,11 +135,15 @@ class Target:
         return got.astype(kind).tobytes(), b""
 
     def rebased(self, data: bytes, by: int) -> bytes:
-        """Records whose descriptors point further into the heap by so many bytes."""
-        if not by or self.kind != "table" or not any(c.item for c in self.columns):
+        """Records of a segment in this target's columns, with descriptors that point further into the heap by so many bytes."""
+        if self.kind != "table" or not any(c.item for c in self.columns):
             return data
-        records = np.frombuffer(data, row_dtype(self.columns, self.width)).copy()
+        if not by and [c.tform for c in self.columns] == [c.tform for c in self.wide]:
+            return data
+        found = np.frombuffer(data, row_dtype(self.wide, sum(c.width for c in self.wide)))
+        records = np.empty(len(found), row_dtype(self.columns, self.width))
         for i, c in enumerate(self.columns):
+            records[f"f{i}"] = found[f"f{i}"]
             if c.item:
                 records[f"f{i}"][:, 1] += by
         return records.tobytes()
@@ -186,8 +203,8 @@ class FitsWriter(DataSourceArrowWriter):
 
     def assemble(self, out, segments: list[Segment]) -> None:
         """Header, rows, heap and padding."""
-        target = self.target
         rows, heap = sum(s.rows for s in segments), sum(s.heap for s in segments)
+        target = self.target.for_heap(heap)
         if target.kind == "table":
             for c in target.columns:
                 if c.item:
@@ -196,10 +213,10 @@ class FitsWriter(DataSourceArrowWriter):
             raise InvalidValue(f"{rows} lines for axes {target.naxes}")
         out.write(serialize(target.cards(rows, heap)))
         unit = target.width or (target.naxes[0] * abs(target.bitpix) // 8 if target.naxes else 1)
-        at = 0
+        stored, at = sum(c.width for c in target.wide) or unit, 0
         for s in segments:
             if s.path:
-                copied(out, s.path, lambda data, by=at: target.rebased(data, by), unit)
+                copied(out, s.path, lambda data, by=at: target.rebased(data, by), stored)
             at += s.heap
         for s in segments:
             if s.heap_path:

@@ -14,11 +14,11 @@ from heliograph.functions.errors import InvalidValue, UnsupportedCompression
 from heliograph.operators import calibration, catalog, checksum, edit
 from heliograph.operators.handle import FitsHandle
 from heliograph.plans.queries import tiled_file
-from heliograph.sources import codec
+from heliograph.sources import codec, files
 from heliograph.sources.fits import read_fits
 from heliograph.sources.hdu import choose, extension_cards, primary_cards, read_hdus
 from heliograph.sources.schema import layout, parse_ascii_tform, parse_tdim, parse_tform, unique_names
-from heliograph.sources.sink import image_hdu, table_hdu, write_fits, write_local
+from heliograph.sources.sink import FitsWriter, Segment, image_hdu, table_hdu, write_fits, write_local
 from heliograph.sources.tiles import gunzip, rice_decode, rice_encode
 
 
@@ -347,3 +347,31 @@ def test_cells_of_the_heap_come_in_parts(tmp_path):
             return heap[lo:hi]
 
     assert codec.table_arrays(data, columns, 8, Held())[0].to_pylist() == cells.to_pylist()
+
+
+@pytest.mark.parametrize("most, form", [(10**6, "1PJ"), (1000, "1QJ")])
+def test_a_large_heap_gets_wide_descriptors(spark, tmp_path, monkeypatch, most, form):
+    monkeypatch.setattr(codec, "P_HEAP", most)
+    rows = [(i, list(range(i)), f"n{i}") for i in range(40)]
+    schema = spark.createDataFrame(rows[:1], "k long, a array<int>, name string").schema
+
+    def write(path, **options):
+        writer, segments = FitsWriter({"path": path, **options}, schema, False), []
+        for k, part in enumerate((rows[:15], rows[15:28], rows[28:])):  # no segment's heap is large
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.int64(), pa.list_(pa.int32()), pa.string()), strict=True)], names=schema.names)
+            own = [f"{writer.stage}/{k}.rows", f"{writer.stage}/{k}.heap"]
+            data = writer.target.encode(batch, 0)
+            for name, x in zip(own, data, strict=True):
+                with files.open_write(name) as f:
+                    f.write(x)
+            segments.append(Segment(k, len(part), len(data[1]), *own))
+        writer.commit(segments)
+
+    path = f"{tmp_path}/cells.fits"
+    write(path)
+    got = read_fits(spark, path, rowsPerPartition=7)
+    assert got.schema["a"].metadata["tform"] == form
+    assert sorted((r.k, r.a, r.name) for r in got.collect()) == rows
+    if form == "1QJ":
+        with pytest.raises(InvalidValue, match="needs TFORM 1QJ"):
+            write(f"{tmp_path}/given.fits", tforms="a=1PJ")
